@@ -1,9 +1,10 @@
 """Near-duplicates by SimHash and multi-index hashing.
 
-Fingerprints of 64 bits come from XXH64 hashes of word shingles.  A fingerprint is split into two
-segments of 32 bits.  Of two fingerprints at 3 or fewer differing bits, one segment differs in at
-most one bit, so each fingerprint enumerates the Hamming ball of radius 1 around each of its segments
-(33 values), fetches the fingerprints whose segment has such a value, and verifies the whole distance.
+Fingerprints of 64 bits come from XXH64 hashes of word shingles.  A fingerprint is split into one
+segment more than half the distance: two of 32 bits for 3 differing bits, four of 16 for 7.  Of two
+fingerprints within the distance, one segment differs in at most one bit, so each fingerprint
+enumerates the Hamming ball of radius 1 around each of its segments, fetches the fingerprints whose
+segment has such a value, and verifies the whole distance.
 
 Work is on distinct fingerprints, so exact copies never meet in pairs.  Fingerprints that share a
 segment's value meet in one group.  A group emits only a spanning star of its components, never its
@@ -75,86 +76,107 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _stars(table: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
-    """Edges (fingerprint, least of its component) among entries and probes within ``distance``.
-
-    Distances are taken in slices; memory stays in proportion to the two sides.
-    """
-    step = max(1, (1 << 20) // max(1, len(probes)))
-    label = {**{int(x): int(x) for x in probes}, **{int(x): int(x) for x in table}}
+def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (x, least of its component) of the links (a, b)."""
+    label: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = x = label[label[x]]
+        while (up := label.setdefault(x, x)) != x:
+            label[x] = x = label[up]
         return x
 
-    for i in range(0, len(table), step):
-        near = np.bitwise_count(table[i : i + step, None] ^ probes[None, :]) <= distance
-        for row, entry in zip(near, table[i : i + step].tolist(), strict=True):
-            a = root(entry)
-            for b in set(map(root, probes[row].tolist())):
-                if a != b:
-                    low, high = (a, b) if a < b else (b, a)
-                    label[high] = low
-                    a = low
-    ends = [(x, r) for x in label if (r := root(x)) != x]
-    return np.array(ends, np.int64).reshape(-1, 2)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            label[max(x, y)] = min(x, y)
+    return np.array([(x, root(x)) for x in label if root(x) != x], np.int64).reshape(-1, 2)
+
+
+def _near(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
+    """Stars over all entries and probes of one large group within ``distance``, slice by slice."""
+    step = max(1, _PAIRS // max(1, len(probes)))
+    stars = np.zeros((0, 2), np.int64)
+    for i in range(0, len(entries), step):
+        part = entries[i : i + step]
+        x, y = np.nonzero(np.bitwise_count(part[:, None] ^ probes[None, :]) <= distance)
+        stars = np.concatenate([stars, np.column_stack([part[x], probes[y]])])
+        if len(stars) > 4 * (len(entries) + len(probes)):
+            stars = _stars(stars[:, 0], stars[:, 1])
+    return _stars(stars[:, 0], stars[:, 1])
+
+
+#: Distances taken at once.
+_PAIRS = 1 << 20
 
 
 def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Edges of rows (segment, value, tblock, pblock, entry, fp) that come sorted by group."""
+    """Edges of rows (segment, value, tblock, pblock, entry, fp) that come sorted by group, probes first."""
     held: list[np.ndarray] = []
 
-    def solve(rows: np.ndarray) -> pa.RecordBatch | None:
-        """``rows``: whole groups; columns group key (4), entry, fp."""
-        new = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
-        starts = np.flatnonzero(new)
+    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``rows``: whole groups."""
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
         entries = np.add.reduceat(rows[:, 4], starts)
-        sizes = np.diff(np.r_[starts, len(rows)])
-        live = np.flatnonzero((entries > 0) & (sizes - entries > 1))
-        out = []
-        for g in live.tolist():
-            group = rows[starts[g] : starts[g] + sizes[g]]
-            is_entry = group[:, 4] == 1
-            table, probes = group[is_entry, 5], group[~is_entry, 5]
-            if len(table) == 1:
-                near = probes[np.bitwise_count(probes ^ table[0]) <= distance]
-                near = near[near != table[0]]
-                if len(near):
-                    out.append(np.column_stack([near, np.full(len(near), table[0])]))
-            else:
-                out.append(_stars(table, probes, distance))
-        if not out:
-            return None
-        edges = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
+        probes = np.diff(np.r_[starts, len(rows)]) - entries
+        live = (entries > 0) & (probes > 1)
+        starts, entries, probes = starts[live], entries[live], probes[live]
+        work = entries * probes
+        out = [_near(rows[s + p : s + p + t, 5], rows[s : s + p, 5], distance) for s, t, p in zip(*(v[work > _PAIRS].tolist() for v in (starts, entries, probes)), strict=True)]
+        small = np.flatnonzero(work <= _PAIRS)
+        for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // _PAIRS)) + 1) if len(small) else ():
+            # Every entry of a group beside every probe of it, for many groups at once.
+            each = np.repeat(part, work[part])
+            at = np.arange(len(each)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
+            x = rows[starts[each] + probes[each] + at // probes[each], 5]
+            y = rows[starts[each] + at % probes[each], 5]
+            good = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+            x, y, each = x[good], y[good], each[good]
+            if not len(x):
+                continue
+            n = np.bincount(each, minlength=len(work))
+            many = n[each] > 4 * (entries + probes)[each]
+            out.append(np.column_stack([x[~many], y[~many]]))
+            for g in np.unique(each[many]):
+                out.append(_stars(x[each == g], y[each == g]))
+        edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        if len(edges):
+            edges = np.unique(np.sort(edges, axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(edges[:, 0])], ["a", "b"])
+
+    size = 0
     for batch in batches:
-        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        if not len(rows):
+        if not batch.num_rows:
             continue
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         held.append(rows)
-        if (rows[-1, :4] == held[0][0, :4]).all():
-            continue  # still one group
+        size += len(rows)
+        if size < _PAIRS // 4 or (rows[-1, :4] == held[0][0, :4]).all():
+            continue  # few rows yet, or still one group
         rows = np.concatenate(held)
         last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))[-1] + 1
-        held = [rows[last:]]
-        if (found := solve(rows[:last])) is not None:
-            yield found
-    if held and (found := solve(np.concatenate(held))) is not None:
-        yield found
+        held, size = [rows[last:]], len(rows) - last
+        yield from solve(rows[:last])
+    if held:
+        yield from solve(np.concatenate(held))
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``."""
-    if distance > 3:
-        raise ValueError("two segments and balls of radius 1 find up to 3 differing bits")
     spark = prepare(fps.sparkSession)
-    halves = F.array(*[F.struct(F.lit(s).alias("segment"), v.alias("value")) for s, v in enumerate((F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)))])
-    table = fps.select("fp", F.explode(halves).alias("h")).select("fp", "h.segment", "h.value")
-    # Radius 0 and 1; a flip changes one bit of the segment.
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = table.select("fp", "segment", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
+    segments = distance // 2 + 1
+    bounds = [64 * i // segments for i in range(segments + 1)]
+
+    def with_value(flips: list[list[int]]) -> DataFrame:
+        """A row for each segment and each of its flips: the segment's value with those bits changed."""
+        each = [
+            F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)).bitwiseXOR(F.lit(x)).alias("value"))
+            for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))
+            for x in flips[s]
+        ]
+        return fps.select("fp", F.explode(F.array(*each)).alias("h")).select("fp", "h.segment", "h.value")
+
+    table = with_value([[0]] * segments)
+    probes = with_value([[0, *(1 << i for i in range(b - a))] for a, b in zip(bounds, bounds[1:], strict=False)])
     large = cut(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block))
     rows = table.withColumn("entry", F.lit(1)).unionByName(probes.withColumn("entry", F.lit(0)))
     n = large.count()
@@ -170,7 +192,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         rows = rows.select("segment", "value", F.lit(0).alias("tblock"), F.lit(0).alias("pblock"), "entry", "fp")
     key = ["segment", "value", "tblock", "pblock"]
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(shuffles, *key).sortWithinPartitions(*key)
+    dealt = rows.repartition(shuffles, *key).sortWithinPartitions(*key, "entry")
     return dealt.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long").distinct()
 
 
