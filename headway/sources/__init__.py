@@ -1 +1 @@
-
+"""Feeds, stores and timetables as DataFrames."""
