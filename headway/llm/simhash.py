@@ -76,6 +76,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def _differing(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit patterns; numpy would count those of a signed number's absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edges (x, least of its component) of the links (a, b)."""
     label: dict[int, int] = {}
@@ -98,7 +103,7 @@ def _near(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
     stars = np.zeros((0, 2), np.int64)
     for i in range(0, len(entries), step):
         part = entries[i : i + step]
-        x, y = np.nonzero(np.bitwise_count(part[:, None] ^ probes[None, :]) <= distance)
+        x, y = np.nonzero(_differing(part[:, None] ^ probes[None, :]) <= distance)
         stars = np.concatenate([stars, np.column_stack([part[x], probes[y]])])
         if len(stars) > 4 * (len(entries) + len(probes)):
             stars = _stars(stars[:, 0], stars[:, 1])
@@ -129,7 +134,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
             at = np.arange(len(each)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
             x = rows[starts[each] + probes[each] + at // probes[each], 5]
             y = rows[starts[each] + at % probes[each], 5]
-            good = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+            good = (_differing(x ^ y) <= distance) & (x != y)
             x, y, each = x[good], y[good], each[good]
             if not len(x):
                 continue
