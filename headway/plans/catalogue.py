@@ -351,6 +351,64 @@ def classify_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", v["is_incident"].alias("is_incident"), v["reason"].alias("reason"))
 
 
+def _feed(spark, sf_dir) -> DataFrame:
+    """Orders with their line items as nested trip updates."""
+    delay = lambda c, when: F.struct(F.when(when, F.col(c).cast("int")).alias("delay"), F.lit(None).cast("bigint").alias("time"))
+    relationship = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    calls = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*_CALL_ORDER.split(", "), F.struct(
+        F.col("l_partkey").cast("string").alias("stop_id"), F.col("l_linenumber").cast("int").alias("stop_sequence"), relationship.alias("relationship"),
+        delay("l_quantity", F.col("l_returnflag") == "A").alias("arrival"), delay("l_linenumber", F.col("l_quantity") > 10).alias("departure"),
+    ).alias("s")).alias("x"))
+    lists = calls.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("stop_time_update"))
+    trip = F.struct(F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("route_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("start_date"), F.when(F.col("o_orderstatus") == "P", 3).otherwise(0).alias("relationship"))
+    return _table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("id"), trip.alias("trip"), "stop_time_update")
+
+
+_FEED = f"""c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_CALL_ORDER}) - 1 AS ahead, CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS INTEGER) END AS arr, CASE WHEN l_quantity > 10 THEN CAST(l_linenumber AS INTEGER) END AS dep FROM lineitem)"""
+
+
+@query(
+    f"""WITH {_FEED}, k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ahead) AS n FROM c WHERE l_returnflag <> 'R' AND (arr IS NOT NULL OR dep IS NOT NULL))
+    SELECT strftime(o_orderdate, '%Y-%m-%d') AS service_date, CAST(o_orderkey AS VARCHAR) AS trip_id, CAST(l_partkey AS VARCHAR) AS stop_id, o_orderpriority AS route_id, CAST(l_linenumber AS INTEGER) AS stop_sequence, CAST(ahead AS INTEGER) AS stops_ahead, arr AS arrival_delay_s, dep AS departure_delay_s
+    FROM k JOIN orders ON l_orderkey = o_orderkey WHERE n <= 3"""
+)
+def flatten_observations(spark, sf_dir):
+    """FLT1 FLT4 FLT8 SC2: each trip's first scheduled stops with a delay, from a nested feed."""
+    from headway.sources.feed import stop_observations
+
+    out = stop_observations(_feed(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return out.select("service_date", "trip_id", "stop_id", "route_id", "stop_sequence", "stops_ahead", "arrival_delay_s", "departure_delay_s")
+
+
+@query(
+    f"""WITH {_FEED}, s AS (SELECT l_orderkey, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY ahead) FILTER (l_returnflag = 'R'), '') AS skips FROM c GROUP BY 1)
+    SELECT strftime(o_orderdate, '%Y-%m-%d') AS service_date, CAST(o_orderkey AS VARCHAR) AS trip_id, o_orderpriority AS route_id, CASE WHEN o_orderstatus = 'P' THEN 'CANCELED' ELSE 'SCHEDULED' END AS trip_relationship, skips AS skipped
+    FROM orders JOIN s ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' OR skips <> ''"""
+)
+def flatten_statuses(spark, sf_dir):
+    """FLT2: trips that are cancelled or skip stops."""
+    from headway.sources.feed import trip_statuses
+
+    out = trip_statuses(_feed(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return out.select("service_date", "trip_id", "route_id", "trip_relationship", F.array_join("skipped_stop_ids", ",").alias("skipped"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, value > 100 AS dir FROM events GROUP BY ALL), p AS (SELECT user_id, epoch(date_trunc('day', ts)) AS s FROM events WHERE event_type = 'error' GROUP BY ALL)
+    SELECT CAST(e.user_id AS VARCHAR) AS alert_id, event_type AS route_id, CAST(dir AS INTEGER) AS direction_id, coalesce(CAST(p.s AS BIGINT), 0) AS active_period_start, CASE WHEN p.s IS NULL THEN 0 ELSE CAST(p.s AS BIGINT) + 86400 END AS active_period_end FROM e LEFT JOIN p USING (user_id)"""
+)
+def flatten_scopes(spark, sf_dir):
+    """FLT3 FLT6: distinct selectors of each alert times its active periods."""
+    from headway.sources.feed import alert_scopes
+
+    rows = _table(spark, sf_dir, "events")
+    day = F.unix_seconds(F.date_trunc("day", F.col("ts")).cast("timestamp"))
+    period = F.when(F.col("event_type") == "error", F.struct(day.alias("start"), (day + 86400).alias("end")))
+    entity = F.struct(F.col("event_type").alias("route_id"), (F.col("value") > 100).cast("int").alias("direction_id"), F.lit(None).cast("string").alias("stop_id"))
+    feed = rows.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.collect_set(entity).alias("informed_entity"), F.collect_set(period).alias("active_period"))
+    return alert_scopes(feed, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("alert_id", "route_id", "direction_id", "active_period_start", "active_period_end")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there."""
     sc = df.sparkSession.sparkContext
