@@ -70,6 +70,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_quality, op3_media, op4_sharding, op5_licenses, op6_simhash, op7_decontam, op8_packing, op9_tokens, op10_langid)}
 
 
+_WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+#: Every window of every item against every run of as many words of every document.
+_DECONTAM_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+    b AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, unnest(list_transform(range(greatest(len(ws) - 12, 1)), lambda i: array_to_string(ws[i + 1 : i + 13], ' '))) AS gram FROM b WHERE len(ws) > 0),
+    lengths AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS i, unnest(list_transform(range(len(ws) - n + 1), lambda i: array_to_string(ws[i + 1 : i + n], ' '))) AS gram FROM d, lengths WHERE len(ws) >= n),
+    hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, gram)),
+    places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for those that SQL can express on whole tables; the others are tested by brute force."""
-    return {}
+    """SQL for what it can express on whole tables; the others are tested by brute force."""
+    return {"op7_decontam": _DECONTAM_SQL}
