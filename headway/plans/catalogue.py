@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import text as text_functions
 from headway.functions.time import calendar, clock, gtfs_seconds, service_day
-from headway.operators import alerts, evalstats, labels, merge, models, reconcile, retrieval, temporal, tools
+from headway.operators import alerts, evalstats, labels, merge, models, reconcile, reports, retrieval, temporal, tools
 from headway.sources.feed import first_per_group
 from headway.streaming import collect
 
@@ -846,3 +846,56 @@ def gbt_delay(spark, sf_dir):
     model = models.fit_delay(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), numbers, ("l_returnflag",), label="truth", grid=models.DELAY_GRID[:2], rounds=10)
     out = model.transform(models.prepared(rows.filter("split = 'test'"), numbers))
     return evalstats.regression_scores(out, "truth", "prediction", "guess")
+
+
+@query("SELECT event_type, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1")
+def store_status(spark, sf_dir):
+    """AG9: what a store holds."""
+    out = reports.store_status(_table(spark, sf_dir, "events"), "ts", "event_type")
+    return out.withColumns({c: _stamp(c) for c in ("first_seen", "last_seen")})
+
+
+@query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_polls(spark, sf_dir):
+    """TK4: the last rows, which is what the report is."""
+    return reports.recent(_table(spark, sf_dir, "events"), "ts", 20, ["event_id"]).select("event_id", "event_type", _stamp("ts").alias("seen"))
+
+
+@query("SELECT toxic, count(*) AS statements, count(*) FILTER (quality IS NULL) AS failed, round(avg(quality), 9) AS faithful FROM labels GROUP BY toxic")
+def faithfulness(spark, sf_dir):
+    """AG26: rates among those with a verdict."""
+    rows = _table(spark, sf_dir, "labels").withColumn("supported", F.col("quality") == 1)
+    return reports.faithfulness(rows, by=["toxic"]).withColumn("faithful", F.round("faithful", 9))
+
+
+@query("SELECT g AS lang, count(d.lang) AS n FROM (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS g) LEFT JOIN documents d ON d.lang = g GROUP BY g")
+def group_counts(spark, sf_dir):
+    """AG30: rows of every group, those without any included."""
+    return reports.group_counts(_table(spark, sf_dir, "documents"), "lang", ("en", "fr", "de", "es", "it"))
+
+
+@query(
+    f"""WITH {_LABELS}, n AS (SELECT line, w, CAST(ceil(CAST(0.25 AS DOUBLE) * n_services - CAST(1e-9 AS DOUBLE)) AS BIGINT) - n_late AS gap FROM verdicts WHERE NOT disrupted)
+    SELECT line, strftime(arg_min(w, (gap, w)), '%Y-%m-%d %H:%M:%S') AS window_start, min(gap) AS gap FROM n GROUP BY line"""
+)
+def nearest_to_firing(spark, sf_dir):
+    """API9: the window of each line that came nearest to being disrupted."""
+    out = reports.nearest_to_firing(_labels(spark, sf_dir), labels.late_needed(F.col("n_services"), RULE.share))
+    return out.withColumn("window_start", _stamp("window_start"))
+
+
+@query(
+    f"""WITH {_LABELS}, d AS (SELECT DISTINCT CAST(w AS DATE) AS day FROM targets), r AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS c FROM d),
+    s AS (SELECT day, CASE WHEN k <= greatest(1, round_even(c * CAST(0.7 AS DOUBLE), 0)) THEN 'train' WHEN k <= greatest(1, round_even(c * CAST(0.7 AS DOUBLE), 0), round_even(c * CAST(0.85 AS DOUBLE), 0)) THEN 'validation' ELSE 'test' END AS split FROM r)
+    SELECT split, count(*) AS rows, count(target) AS known, count(*) FILTER (target) AS positive FROM targets JOIN s ON CAST(w AS DATE) = day GROUP BY split"""
+)
+def split_report(spark, sf_dir):
+    """API10: rows, known and positive targets of each part."""
+    rows = reconcile.with_split(_labels(spark, sf_dir).withColumn("date", F.to_date("window_start")), "date")
+    return reports.split_report(rows)
+
+
+@query()
+def passage_summary(spark, sf_dir):
+    """AG29: passages of each document."""
+    return reports.passage_summary(chunk_documents(spark, sf_dir), "doc_id")
