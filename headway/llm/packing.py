@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.common import cut, prepare
-from headway.llm.tokens import chunks_of
+from headway.llm.tokens import KnownTable, WordVocabulary, byte_symbols
 
 CAPACITY = 4096
 #: Items of a block, on average: what one task holds and evolves.
@@ -40,39 +40,38 @@ OFFSPRING = 16
 #: A bin with at most this share of its capacity free counts as well filled.
 WELL_FILLED = 0.004
 ROUNDS = 3
-_KNOWN = 300_000
 
-_tokenizers: dict[str, tuple] = {}
 
+class _Ids(WordVocabulary):
+    """The library's ids of words, each made when first met, in a bounded table."""
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _tokenizers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.symbols = byte_symbols()
+        self.by_word = KnownTable(self, self.ids, b"".join)
+
+    def ids(self, word: str) -> bytes:
+        if word in self.marks:
+            return np.array([self.marks[word]], "<u4").tobytes()
+        plain = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+
+_vocabularies: dict[str, _Ids] = {}
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The library's ids of each text, as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and no token spans it, so chunks between white space are
-    encoded once each and their ids kept in a bounded table.
+    The library's model merges each word by itself, so a word's ids are made once and kept.
     """
-    library, known = _tokenizer(path)
-    split = [chunks_of(t) if t else [] for t in texts]
-    missing = list(set(chain.from_iterable(split)).difference(known))
-    if len(known) + len(missing) > _KNOWN:
-        known.clear()
-        missing = list(set(chain.from_iterable(split)))
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for chunk, coded in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(coded.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+    if path not in _vocabularies:
+        _vocabularies[path] = _Ids(path)
+    own = _vocabularies[path]
+    return [b"".join(map(own.by_word.__getitem__, own.chunks(t))) if t else b"" for t in texts]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +154,9 @@ def evolve(weights: list[int], capacity: int, seed: int, offspring: int = OFFSPR
     """The best solution found for the items of one block; ``weights`` in descending order."""
     rng = random.Random(seed)
     people = [best_fit(range(len(weights)), weights, capacity)]
+    least = -(-sum(weights) // capacity)
+    if len(people[0]) <= least:
+        return people[0]  # no solution has fewer
     if immigrant is not None:
         people.append(immigrant)
     while len(people) < POPULATION:
@@ -162,7 +164,6 @@ def evolve(weights: list[int], capacity: int, seed: int, offspring: int = OFFSPR
         order = sorted(range(len(weights)), key=lambda i: -weights[i] * rng.uniform(1 - spread, 1 + spread))
         people.append(best_fit(order, weights, capacity))
     people = sorted(((fitness(p, capacity), k, p) for k, p in enumerate(people)), reverse=True)
-    least = -(-sum(weights) // capacity)
     for k in range(offspring):
         if len(people[0][2]) <= least:
             break

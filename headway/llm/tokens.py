@@ -2,8 +2,8 @@
 
 A word's byte symbols form a linked list.  A heap holds every adjacent pair that has a rank; the
 lowest rank (the leftmost of equal ones) is popped and merged until none is left, so the count is
-the number of initial symbols minus the merges.  Counts of words and of white-space-free chunks are
-kept in bounded tables, as most words recur.
+the number of initial symbols minus the merges.  Counts of words are kept in a bounded table, as most
+recur.
 
 Null texts count as empty (0 bytes, 0 tokens); an empty table gives an empty result; repeated rows
 give repeated results; columns other than the id and the text are not read.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from headway.llm.common import prepare
 
-#: Entries of a table of known words or chunks at most; a full table is emptied.
-KNOWN = 300_000
+#: Entries of a table of known words at most; a full table is emptied.
+KNOWN = 600_000
 _POSITION = 1 << 40
 
 
@@ -37,44 +37,79 @@ def byte_symbols() -> list[str]:
     return [chr(other.get(b, b)) for b in range(256)]
 
 
-class _Table(dict):
-    """Results by key, made when first asked for; emptied when it holds KNOWN entries."""
+#: What Python takes for white space but the library does not.
+_ODD = re.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(r"\p{White_Space}+")
+
+
+class WordVocabulary:
+    """What a word-level byte-pair vocabulary file says: how text becomes words, and its merges."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.model = spec["model"]
+        splitter = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pattern = regex.compile(splitter["pattern"]["Regex"])
+        self.marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")")
+
+    def chunks(self, text: str) -> list[str]:
+        """Runs without white space of the normalised text; special tokens stand as they are.
+
+        No word spans white space, so what a chunk holds does not depend on its neighbours.
+        """
+        if "<|" in text and len(parts := self.special.split(text)) > 1:
+            return [c for p in parts if p for c in ([p] if p in self.marks else self.chunks(p))]
+        odd = _ODD.search(text) is not None
+        if text.isascii():
+            low = text.lower()
+        else:
+            low = unicodedata.normalize("NFC", text)
+            # A whole string's last sigma is lowered in its own way; the library lowers characters.
+            low = "".join(map(str.lower, low)) if "\u03a3" in low else low.lower()
+        return _SPACE.split(low) if odd else low.split()
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk, which are merged each by itself."""
+        return [chunk] if chunk.isalpha() or chunk in self.marks else self.pattern.findall(chunk)
+
 
-    def __init__(self, make):
+class KnownTable(dict):
+    """Results by chunk: made when first asked for; emptied when it holds KNOWN entries."""
+
+    def __init__(self, vocabulary: WordVocabulary, make, join):
         super().__init__()
-        self.make = make
+        self.vocabulary, self.make, self.join = vocabulary, make, join
 
-    def __missing__(self, key):
+    def __missing__(self, chunk):
         if len(self) >= KNOWN:
             self.clear()
-        value = self[key] = self.make(key)
+        words = self.vocabulary.words(chunk)
+        value = self[chunk] = self.make(chunk) if len(words) == 1 and words[0] == chunk else self.join(map(self.__getitem__, words))
         return value
 
 
-class MergeCounter:
+class MergeCounter(WordVocabulary):
     """Counts what the library for a word-level byte-pair vocabulary file would emit."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        super().__init__(path)
+        vocab, end = self.model["vocab"], self.model["end_of_word_suffix"] or ""
         self.inner = [vocab[s] for s in byte_symbols()]
         self.last = [vocab[s + end] for s in byte_symbols()]
         self.ranks: dict[int, int] = {}
         self.merged: list[int] = []
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(self.model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[a] << 20 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
-        splitter = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(splitter["pattern"]["Regex"])
-        self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) + ")")
-        self.marks = {t["content"] for t in spec["added_tokens"]}
-        self.by_word = _Table(self.merge)
-        self.by_chunk = _Table(self.chunk)
+        self.model = None
+        self.by_word = KnownTable(self, self.merge, sum)
 
     def merge(self, word: str) -> int:
+        if word in self.marks:
+            return 1
         data = word.encode()
         n = len(data)
         if n < 2:
@@ -110,31 +145,8 @@ class MergeCounter:
                     heappush(heap, rank * _POSITION + h)
         return count
 
-    def chunk(self, chunk: str) -> int:
-        if "<|" in chunk:
-            parts = self.special.split(chunk)
-            if len(parts) > 1:
-                return sum(1 if p in self.marks else self.chunk(p) for p in parts if p)
-        if chunk.isascii():
-            low = chunk.lower()
-        else:
-            low = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        known = self.by_word
-        return sum(known[w] for w in self.words.findall(low))
-
     def count(self, text: str | None) -> int:
-        return sum(map(self.by_chunk.__getitem__, chunks_of(text))) if text else 0
-
-
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"\p{White_Space}+")
-
-
-def chunks_of(text: str) -> list[str]:
-    """Maximal runs without white space, as Unicode has it (Python's split also takes 1C to 1F)."""
-    if _ODD.search(text):
-        return [c for c in _SPACE.split(text) if c]
-    return text.split()
+        return sum(map(self.by_word.__getitem__, self.chunks(text))) if text else 0
 
 
 _counters: dict[str, MergeCounter] = {}
