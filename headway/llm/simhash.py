@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(edges, cut)
     least = found.join(distinct, found["vertex"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
     linked = found.join(least, "component").select(F.col("vertex").alias("fp"), "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Cut, so that the last join's sides are both plain shuffles: a fingerprint with very many rows is then split.
+    classes = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return own.join(classes, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
