@@ -165,6 +165,17 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         yield from solve(np.concatenate(held))
 
 
+def _blocks(table: DataFrame, bounds: list[int], block: int) -> DataFrame:
+    """(segment, value, tparts, pparts) of the values with very many entries and of those one bit from them,
+    which get as many probes: into how many blocks their entries and probes are dealt."""
+    large = table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(b - a)]) for a, b in zip(bounds, bounds[1:], strict=False)])
+    around = large.select("segment", "n", F.col("value").alias("from"), F.explode(F.element_at(flips, F.col("segment") + 1)).alias("x"))
+    sums = around.groupBy("segment", F.col("from").bitwiseXOR(F.col("x")).alias("value")).agg(F.sum("n").alias("probes"), F.sum(F.when(F.col("x") == 0, F.col("n")).otherwise(0)).alias("entries"))
+    count = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    return sums.select("segment", "value", count("entries").alias("tparts"), count("probes").alias("pparts"))
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``."""
     spark = prepare(fps.sparkSession)
@@ -182,17 +193,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
 
     table = with_value([[0]] * segments)
     probes = with_value([[0, *(1 << i for i in range(b - a))] for a, b in zip(bounds, bounds[1:], strict=False)])
-    large = cut(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block))
     rows = table.withColumn("entry", F.lit(1)).unionByName(probes.withColumn("entry", F.lit(0)))
-    n = large.count()
-    if n:
-        parts = large.select("segment", "value", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(parts) if n <= BROADCAST_ROWS else parts, ["segment", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
+    parts = cut(_blocks(table, bounds, block))
+    if n := parts.count():
+        rows = rows.join(F.broadcast(parts) if n <= BROADCAST_ROWS else parts, ["segment", "value"], "left").fillna(1, ["tparts", "pparts"])
         # An entry meets every block of probes, a probe every block of entries.
-        rows = rows.withColumn("other", F.explode(every))
-        rows = rows.select("segment", "value", F.when(F.col("entry") == 1, own).otherwise(F.col("other")).alias("tblock"), F.when(F.col("entry") == 1, F.col("other")).otherwise(own).alias("pblock"), "entry", "fp")
+        is_entry = F.col("entry") == 1
+        own = F.pmod(F.xxhash64("fp"), F.when(is_entry, F.col("tparts")).otherwise(F.col("pparts"))).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.when(is_entry, F.col("pparts")).otherwise(F.col("tparts")).cast("int") - 1))
+        rows = rows.select("segment", "value", "entry", "fp", own.alias("own"), other.alias("other"))
+        rows = rows.select("segment", "value", F.when(is_entry, F.col("own")).otherwise(F.col("other")).alias("tblock"), F.when(is_entry, F.col("other")).otherwise(F.col("own")).alias("pblock"), "entry", "fp")
     else:
         rows = rows.select("segment", "value", F.lit(0).alias("tblock"), F.lit(0).alias("pblock"), "entry", "fp")
     key = ["segment", "value", "tblock", "pblock"]
