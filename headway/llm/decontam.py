@@ -12,15 +12,14 @@ or no hits.  Other columns pass through untouched, or are not read where only a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import prepare
+from headway.llm.common import prepare, unused
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -175,12 +174,14 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) -> DataFrame:
-    """``docs`` with _n_words, _spans (of words) and _items."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with three more columns, and their names: number of words, spans (of words), items."""
     spark = prepare(docs.sparkSession)
-    df = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<start:int,end:int>>"), "_items": F.array().cast("array<string>")})
+    own_names = unused(docs, "_n_words", "_spans", "_items")
+    n_col, spans_col, items_col = own_names
+    df = docs.withColumns({n_col: F.lit(0).cast("long"), spans_col: F.array().cast("array<struct<start:int,end:int>>"), items_col: F.array().cast("array<string>")})
     names = df.columns
-    at = {c: names.index(c) for c in (text_col, "_n_words", "_spans", "_items")}
+    at = {"text": names.index(text_col), "_n_words": names.index(n_col), "_spans": names.index(spans_col), "_items": names.index(items_col)}
     schema = df.schema
     for own in automata(benchmark, window):
         sent = spark.sparkContext.broadcast(own)
@@ -189,7 +190,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) ->
             automaton = sent.value
             for batch in batches:
                 n, spans, items = [], [], []
-                for text, old, held in zip(batch.column(at[text_col]), batch.column(at["_spans"]).to_pylist(), batch.column(at["_items"]).to_pylist(), strict=True):
+                for text, old, held in zip(batch.column(at["text"]), batch.column(at["_spans"]).to_pylist(), batch.column(at["_items"]).to_pylist(), strict=True):
                     words = words_of(text.as_py())
                     found, which = automaton.spans(words)
                     if old and found:
@@ -206,29 +207,34 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) ->
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
         df = df.mapInArrow(run, schema)
-    return df
+    return df, n_col, spans_col, items_col
+
+
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words) of each document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return _hits(rows, benchmark, window, "text").select(
+    found, words, spans, items = _hits(rows, benchmark, window, "text")
+    n_hit = _n_hit(spans)
+    return found.select(
         F.col("doc_id").alias(id_col),
-        F.col("_n_words").alias("n_words"),
+        F.col(words).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * coverage >= F.col("_n_words"))).alias("contaminated"),
-        F.col("_spans").alias("spans"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * coverage >= F.col(words))).alias("contaminated"),
+        F.col(spans).alias("spans"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    found = _hits(docs, benchmark, window, text_col)
-    return found.filter(~((n_hit > 0) & (n_hit * coverage >= F.col("_n_words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, words, spans, _ = _hits(docs, benchmark, window, text_col)
+    n_hit = _n_hit(spans)
+    return found.filter(~((n_hit > 0) & (n_hit * coverage >= F.col(words)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_spans(text: str | None, spans: list, longest: int = 0) -> str | None:
@@ -252,9 +258,9 @@ def cut_spans(text: str | None, spans: list, longest: int = 0) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, longest: int = 0, text_col: str = "text") -> DataFrame:
     """``docs`` without hit spans of more than ``longest`` words; contaminated documents lose all their hit spans."""
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    found = _hits(docs, benchmark, window, text_col)
-    over = (n_hit > 0) & (n_hit * coverage >= F.col("_n_words"))
+    found, words, spans_col, _ = _hits(docs, benchmark, window, text_col)
+    n_hit = _n_hit(spans_col)
+    over = (n_hit > 0) & (n_hit * coverage >= F.col(words))
 
     @F.pandas_udf("string")
     def cleaned(text, spans, all_of):  # noqa: ANN001
@@ -262,5 +268,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
         return pd.Series([cut_spans(t, [(x["start"], x["end"]) for x in s], 0 if a else longest) for t, s, a in zip(text, spans, all_of, strict=True)])
 
-    keep = [F.col(f"`{c}`") if c != text_col else cleaned(F.col(text_col), "_spans", over).alias(text_col) for c in docs.columns]
+    keep = [F.col(f"`{c}`") if c != text_col else cleaned(F.col(text_col), spans_col, over).alias(text_col) for c in docs.columns]
     return found.select(*keep)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import prepare
+from headway.llm.common import prepare, without
 
 UNKNOWN = "application/octet-stream"
 RATE = 8000
@@ -262,8 +262,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scan_media(df: DataFrame, media_col: str = "media", declared_col: str | None = "declared") -> DataFrame:
-    """``df`` with media_type, media_length, corrected (the declared type was another) and embedded."""
+    """``df`` with media_type, media_length, corrected (the declared type was another) and embedded, which
+    replace columns of those names."""
     prepare(df.sparkSession)
+    df = without(df, ("media_type", "media_length", "corrected", "embedded"))
     names = df.columns
     at = names.index(media_col)
     said = names.index(declared_col) if declared_col else None

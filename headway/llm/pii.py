@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headway.llm.common import unused
+
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Length of the text before and after a match in which context words count.
 NEAR = 40
@@ -92,14 +94,14 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _split(df: DataFrame, kind: Kind, text: Column) -> DataFrame:
-    """``df`` with the kind's matches (_m) and, where there are any, the pieces around them (_p)."""
+def _split(df: DataFrame, kind: Kind, text: Column, m: str, p: str) -> DataFrame:
+    """``df`` with the kind's matches (column ``m``) and, where there are any, the pieces around them (``p``)."""
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     if kind.needs:
         found = F.when(F.contains(text, F.lit(kind.needs)), found)
-    df = df.withColumn("_m", F.coalesce(found, none))
-    return df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, kind.pattern, -1)).otherwise(none))
+    df = df.withColumn(m, F.coalesce(found, none))
+    return df.withColumn(p, F.when(F.size(m) > 0, F.split(text, kind.pattern, -1)).otherwise(none))
 
 
 def _score(kind: Kind, before: Column, after: Column) -> Column:
@@ -131,23 +133,24 @@ _SPANS = "array<struct<start:bigint,no:int,end:bigint,kind:string,score:double>>
 def find_spans(df: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
     """``df`` with its spans, sorted: array of (start, no of the kind, end, kind, score); ends are exclusive."""
     text = F.col(f"`{text_col}`")
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("_m", "_p", out)]
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    m, p, *parts = unused(df, "_m", "_p", *[f"_s{no}" for no in range(len(KINDS))])
     for no, kind in enumerate(KINDS):
-        df = _split(df, kind, text)
-        df = df.withColumn(f"_s{no}", F.when(F.size("_m") > 0, _spans_of(no, kind)).otherwise(F.array().cast(_SPANS)))
-    return df.select(*rest, F.array_sort(F.concat(*[f"_s{no}" for no in range(len(KINDS))])).alias(out))
+        df = _split(df, kind, text, m, p)
+        df = df.withColumn(parts[no], F.when(F.size(m) > 0, _spans_of(no, kind, F.col(m), F.col(p))).otherwise(F.array().cast(_SPANS)))
+    return df.select(*rest, F.array_sort(F.concat(*parts)).alias(out))
 
 
-def _spans_of(no: int, kind: Kind) -> Column:
-    """The valid spans of the matches in _m."""
+def _spans_of(no: int, kind: Kind, matches: Column, pieces: Column) -> Column:
+    """The valid spans of the matches."""
 
     def span(x: Column, i: Column) -> Column:
         m, start = x["m"], x["s"]
-        score = F.when(_valid(kind.name, m), _score(kind, F.get("_p", i), F.get("_p", i + 1)))
+        score = F.when(_valid(kind.name, m), _score(kind, F.get(pieces, i), F.get(pieces, i + 1)))
         return F.struct(start.alias("start"), F.lit(no).alias("no"), (start + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
     least = 0.0 if kind.always else KEEP
-    each = F.transform(F.arrays_zip(F.col("_m").alias("m"), _starts(F.col("_m"), F.col("_p")).alias("s")), span)
+    each = F.transform(F.arrays_zip(matches.alias("m"), _starts(matches, pieces).alias("s")), span)
     return F.filter(each, lambda s: s["score"].isNotNull() & (s["score"] >= least)).cast(_SPANS)
 
 
@@ -171,15 +174,16 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with each valid match replaced by its kind's mark, one kind after another."""
     text = F.col(f"`{text_col}`")
     names = df.columns
+    m, p = unused(df, "_m", "_p")
     for kind in KINDS:
-        df = _split(df, kind, text)
-        masked = F.when(F.size("_m") > 0, _masked(kind)).otherwise(text)
+        df = _split(df, kind, text, m, p)
+        masked = F.when(F.size(m) > 0, _masked(kind, F.col(m), F.col(p))).otherwise(text)
         df = df.withColumn(text_col, masked).select(*[F.col(f"`{c}`") for c in names])
     return df
 
 
-def _masked(kind: Kind) -> Column:
-    """The pieces in _p with the matches in _m, the valid ones masked, between them."""
+def _masked(kind: Kind, matches: Column, pieces: Column) -> Column:
+    """The pieces with the matches, the valid ones masked, between them."""
 
     def put(piece: Column, x: Column) -> Column:
         good = _valid(kind.name, x["m"])
@@ -187,5 +191,5 @@ def _masked(kind: Kind) -> Column:
             good = good & (_score(kind, piece, x["after"]) >= KEEP)
         return F.concat(piece, F.when(x["m"].isNull(), "").when(good, kind.mask).otherwise(x["m"]))
 
-    with_after = F.transform("_m", lambda m, i: F.struct(m.alias("m"), F.get("_p", i + 1).alias("after")))
-    return F.array_join(F.zip_with("_p", with_after, put), "")
+    with_after = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i + 1).alias("after")))
+    return F.array_join(F.zip_with(pieces, with_after, put), "")

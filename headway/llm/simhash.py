@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import cut, prepare
+from headway.llm.common import cut, prepare, unused
 from headway.operators.graph import connected_components
 
 DISTANCE = 3
@@ -232,8 +232,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their component has an id.
     """
     near = cut(near_duplicates(docs, id_col, text_col, shingle, distance))
-    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name, digest = unused(docs, "_kept", "_hash")
+    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     if not near.groupBy(id_col, "fp").count().filter("count > 1").isEmpty():
-        out = out.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+        out = out.withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)
     return out

@@ -16,7 +16,7 @@ def test_held_out_accuracy(spark):
 def test_odd_tables(odd_docs, no_docs, spark):
     model = langid.fit(["the river and stone"] * 5 + ["der fluss und stein"] * 5, ["en"] * 5 + ["de"] * 5)
     got = {r["doc_id"]: r for r in langid.identify(odd_docs, model).collect()}
-    assert langid.identify(odd_docs, model).columns == [*odd_docs.columns, "lang_pred", "lang_score", "lang_rejected"]
+    assert langid.identify(odd_docs, model).columns == [*[c for c in odd_docs.columns if c != "lang_pred"], "lang_pred", "lang_score", "lang_rejected"]
     for i in (0, 1, 2):
         assert (got[i]["lang_pred"], got[i]["lang_score"], got[i]["lang_rejected"]) == ("und", 0.0, True)
     assert got[7]["lang_pred"] == "en" and 0 <= got[7]["lang_score"] <= 1

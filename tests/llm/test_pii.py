@@ -70,8 +70,8 @@ def test_mask_leaves_the_rest(spark):
 
 def test_odd_and_empty_tables(odd_docs, no_docs):
     assert pii.pii_summary(odd_docs).count() == odd_docs.count()
-    assert sorted(pii.find_spans(odd_docs.drop("_m")).columns) == sorted([*odd_docs.drop("_m").columns, "pii_spans"])
-    assert pii.mask(odd_docs.drop("_m")).count() == odd_docs.count()
+    assert sorted(pii.find_spans(odd_docs).columns) == sorted([*odd_docs.columns, "pii_spans"])
+    assert pii.mask(odd_docs).count() == odd_docs.count()
     assert pii.pii_summary(no_docs).count() == 0
 
 
