@@ -689,11 +689,11 @@ def cosine_topk(spark, sf_dir):
     return _searched(spark, sf_dir)
 
 
-@query(f"WITH s AS (SELECT vec_id AS id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])) AS score FROM embeddings WHERE vec_id < 400 AND label <> 0) {_TOP}")
+@query(f"WITH s AS (SELECT vec_id AS id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])) AS score FROM embeddings WHERE label < 7 AND label <> 0) {_TOP}")
 def cosine_topk_guarded(spark, sf_dir):
     """TK1 FIL10: the same among passages known before a moment, the case's own left out."""
-    rows = _passages(spark, sf_dir).withColumns({"first_seen_ts": F.col("id"), "incident_id": F.col("label").cast("string")})
-    found = retrieval.top_k(rows, _PROBE, 10, "embedding", retrieval.guards(seen_before=400, exclude="0"))
+    rows = _passages(spark, sf_dir).withColumns({"first_seen_ts": F.col("label"), "incident_id": F.col("label").cast("string")})
+    found = retrieval.top_k(rows, _PROBE, 10, "embedding", retrieval.guards(seen_before=7, exclude="0"))
     return found.select("id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
