@@ -12,6 +12,7 @@ row every text is ``und``.  Repeated rows repeat; an empty table gives an empty
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import prepare
+from headway.llm.common import prepare, unused
 
 #: Rows of the training sample, on average, and characters of one of them at most.
 TRAIN_ROWS = 4000
@@ -33,7 +34,7 @@ RATE = 0.5
 #: Share of rows kept back from training that rejection may cost, at most.
 REJECTED = 0.0005
 #: No text whose calibrated score reaches this is rejected.
-SURE = 0.5
+SURE = 0.35
 _KNOWN = 200_000
 
 _DROPPED = bytes([*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -44,12 +45,12 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TO_SPACE).split()
 
 
-def buckets_of(word: bytes) -> list[int]:
+def buckets_of(word: bytes) -> array:
     """Buckets of the word with its ends marked: 2 to 4 bytes each, and the whole."""
     word = b"<" + word[:64] + b">" if len(word) <= 64 else b"<" + word[:32] + word[-32:] + b">"
     n = len(word)
     crc = zlib.crc32
-    out = [crc(word[i : i + k]) & (BUCKETS - 1) for k in (2, 3, 4) for i in range(n - k + 1)]
+    out = array("H", [crc(word[i : i + k]) & (BUCKETS - 1) for k in (2, 3, 4) for i in range(n - k + 1)])
     out.append(crc(word, 7) & (BUCKETS - 1))
     return out
 
@@ -85,7 +86,7 @@ class Model:
             each = [buckets_of(w) for w in missing]
             if each:
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
-                flat = np.fromiter((b for x in each for b in x), np.int64, int(sizes.sum()))
+                flat = np.frombuffer(b"".join(each), np.uint16)
                 new = np.empty((len(each), k + 1), np.float32)
                 new[:, :k] = np.add.reduceat(self.logits[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
                 new[:, k] = sizes
@@ -114,16 +115,18 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     label = {x: i for i, x in enumerate(names)}
-    rows, cached = [], {}
+    rows: list[tuple] = []
+    cached: dict[bytes, array] = {}
     for text, lang in zip(texts, langs, strict=True):
-        flat: list[int] = []
+        flat = array("H")
         for w in words_of(text):
             if w not in cached:
                 cached[w] = buckets_of(w)
-            flat += cached[w]
+            flat.extend(cached[w])
         if flat:
-            ids, counts = np.unique(np.array(flat), return_counts=True)
+            ids, counts = np.unique(np.frombuffer(flat, np.uint16).astype(np.int32), return_counts=True)
             rows.append((ids, (counts / counts.sum()).astype(np.float32), label[lang]))
+    cached.clear()
     k = len(names)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32)
@@ -179,11 +182,13 @@ def train(docs: DataFrame, used: Column, rows: int = TRAIN_ROWS, chars: int = TR
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), then lang_pred, lang_score and lang_rejected."""
+    """The columns ``keep`` (all by default), then lang_pred, lang_score and lang_rejected, which replace
+    columns of those names."""
     spark = prepare(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    # The text goes last: a kept column may have its name.
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    own = ("lang_pred", "lang_score", "lang_rejected")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+    (text,) = unused(docs, "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text))
     sent = spark.sparkContext.broadcast(model)
     n = len(keep)
 
@@ -205,5 +210,5 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 [*batch.schema.names[:n], "lang_pred", "lang_score", "lang_rejected"],
             )
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    schema = rows.drop(text).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
     return rows.mapInArrow(run, schema)
