@@ -20,12 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group.
-
-    Texts whose five-word shingles are 0.8 alike lie within 7 bits of each other's fingerprints of
-    three-word shingles nearly always, and all links of the operator's own 3 bits are among these.
-    """
-    return simhash.one_of_each(docs, distance=7)
+    """One document of each group of texts whose five-word shingles are 0.8 alike or more."""
+    return simhash.one_of_each(docs, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

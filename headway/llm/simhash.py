@@ -17,7 +17,7 @@ result; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,19 +37,26 @@ BLOCK = 4096
 BROADCAST_ROWS = 20_000
 
 
+def _shingles(text: bytes | None, shingle: int) -> list[bytes]:
+    """The runs of so many words, repeats included; of fewer words, the whole of them."""
+    words = text.lower().split() if text else []
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)))
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of a text: a bit is 1 if it is set in over half the shingles' hashes."""
+    return _simhash(_shingles(text, shingle), SEED)
+
+
+def _simhash(parts: Collection[bytes], seed: int) -> int:
     import xxhash
 
-    words = text.lower().split() if text else []
-    if not words:
+    if not parts:
         return 0
-    if len(words) < shingle:
-        parts = [b" ".join(words)]
-    else:
-        parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
+    n = len(parts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # long texts in parts: 64 bytes a hash
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -110,12 +117,46 @@ def _near(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
     return _stars(stars[:, 0], stars[:, 1])
 
 
+def _hubs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the links (x, y), for each end the one to its neighbour of the most links (of equal ones, the least)."""
+    a, b = np.r_[x, y], np.r_[y, x]
+    ends, at, degree = np.unique(b, return_inverse=True, return_counts=True)
+    order = np.lexsort((ends[at], -degree[at], a))
+    first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
+    return np.column_stack([a[first], b[first]])
+
+
+def _near_hubs(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
+    """As :func:`_hubs` over one large group, in two passes of slices: degrees, then the best neighbours."""
+    step = max(1, _PAIRS // max(1, len(probes)))
+    slices = [(i, entries[i : i + step]) for i in range(0, len(entries), step)]
+    near = lambda part: (_differing(part[:, None] ^ probes[None, :]) <= distance) & (part[:, None] != probes[None, :])
+    of_entry, of_probe = np.zeros(len(entries), np.int64), np.zeros(len(probes), np.int64)
+    for i, part in slices:
+        m = near(part)
+        of_entry[i : i + len(part)] = m.sum(axis=1)
+        of_probe += m.sum(axis=0)
+    best, of_best, out = np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64), []
+    for i, part in slices:
+        m = near(part)
+        weight = m * of_probe[None, :]
+        some = weight.max(axis=1, initial=0) > 0
+        out.append(np.column_stack([part[some], probes[weight.argmax(axis=1)[some]]]))
+        weight = m * of_entry[i : i + len(part), None]
+        top = weight.max(axis=0)
+        better = top > of_best
+        best[better], of_best[better] = part[weight.argmax(axis=0)[better]], top[better]
+    out.append(np.column_stack([probes[of_best > 0], best[of_best > 0]]))
+    return np.concatenate(out)
+
+
 #: Distances taken at once.
 _PAIRS = 1 << 20
 
 
-def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], distance: int, hubs: bool) -> Iterator[pa.RecordBatch]:
     """Edges of rows (segment, value, tblock, pblock, entry, fp) that come sorted by group, probes first."""
+    of_large, of_many = (_near_hubs, _hubs) if hubs else (_near, _stars)
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,7 +167,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         live = (entries > 0) & (probes > 1)
         starts, entries, probes = starts[live], entries[live], probes[live]
         work = entries * probes
-        out = [_near(rows[s + p : s + p + t, 5], rows[s : s + p, 5], distance) for s, t, p in zip(*(v[work > _PAIRS].tolist() for v in (starts, entries, probes)), strict=True)]
+        out = [of_large(rows[s + p : s + p + t, 5], rows[s : s + p, 5], distance) for s, t, p in zip(*(v[work > _PAIRS].tolist() for v in (starts, entries, probes)), strict=True)]
         small = np.flatnonzero(work <= _PAIRS)
         for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // _PAIRS)) + 1) if len(small) else ():
             # Every entry of a group beside every probe of it, for many groups at once.
@@ -142,7 +183,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
             many = n[each] > 4 * (entries + probes)[each]
             out.append(np.column_stack([x[~many], y[~many]]))
             for g in np.unique(each[many]):
-                out.append(_stars(x[each == g], y[each == g]))
+                out.append(of_many(x[each == g], y[each == g]))
         edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         if len(edges):
             edges = np.unique(np.sort(edges, axis=1), axis=0)
@@ -176,8 +217,12 @@ def _blocks(table: DataFrame, bounds: list[int], block: int) -> DataFrame:
     return sums.select("segment", "value", count("entries").alias("tparts"), count("probes").alias("pparts"))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``."""
+def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, hubs: bool = False) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``.
+
+    With ``hubs``: the links themselves where a group has few, else each value's to its neighbour of the
+    most links, for edges that are to be checked one by one.
+    """
     spark = prepare(fps.sparkSession)
     segments = distance // 2 + 1
     bounds = [64 * i // segments for i in range(segments + 1)]
@@ -208,7 +253,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     key = ["segment", "value", "tblock", "pblock"]
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(shuffles, *key).sortWithinPartitions(*key, "entry")
-    return dealt.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: _linked(batches, distance, hubs), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -225,16 +270,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+#: Of texts whose five-word shingles are 0.8 alike or more: the distance within which one of the fingerprints of
+#: their distinct words, by each of these seeds, lies nearly always.
+CHECKED_DISTANCE = 5
+CHECKED_SEEDS = (42, 43)
+
+
+def _word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th (a hash of the text) and fps, a fingerprint of the distinct words by each seed."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [set(_shingles(t.as_py(), 1)) for t in batch.column(2)]
+            fps = np.array([[_simhash(w, seed) for seed in CHECKED_SEEDS] for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.tolist(), pa.list_(pa.int64()))], ["doc_id", "th", "fps"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """th and s: the distinct hashes (of 32 bits) of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(x, SEED) for x in _shingles(t.as_py(), shingle)], np.uint32)).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], ["th", "s"])
+
+    return docs.mapInArrow(run, "th long, s array<int>")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = CHECKED_DISTANCE) -> DataFrame:
+    """``id_col``, th and component_id, linked by the similarity (Jaccard) of whole texts' shingles.
+
+    Candidates are links of SimHash fingerprints of distinct words (by two seeds, so that what one misses
+    the other finds), which a copy with some words changed leaves near; each is then checked exactly.  In a
+    group of very many near fingerprints every text is checked against the one with the most neighbours,
+    which is what its copies are copies of.  Texts without words are alike.
+    """
+    prepare(docs.sparkSession)
+    own = cut(_word_fingerprints(docs, id_col, text_col))
+    texts = cut(own.groupBy("th").agg(F.min("fps").alias("fps"), F.min("doc_id").alias("least")))
+    pairs = None
+    for k in range(len(CHECKED_SEEDS)):
+        of = texts.select("th", F.col("fps")[k].alias("fp"))
+        reps = cut(of.groupBy("fp").agg(F.min("th").alias("rep")))
+        between = links(reps.select("fp"), distance, hubs=True)
+        far = between.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+        same = of.join(reps, "fp").filter("th <> rep").select(F.col("rep").alias("u"), F.col("th").alias("v"))
+        found = cut(far.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = cut(pairs.distinct())
+    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("th")).distinct())
+    n = wanted.count()
+    rows = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    firsts = wanted.join(texts.select("th", "least"), "th").select(F.col("th").alias("_th"), "least")
+    on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("least"))
+    picked = rows.join(F.broadcast(firsts) if n <= BROADCAST_TEXTS else firsts, on, "left_semi").select("th", "_text")
+    sets = cut(_shingle_sets(picked, shingle))
+    left = pairs.join(sets.select(F.col("th").alias("u"), F.col("s").alias("a")), "u")
+    both = left.join(sets.select(F.col("th").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = common >= similarity * (F.size("a") + F.size("b") - common)
+    edges = both.filter(alike).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    found = connected_components(edges, cut)
+    least = found.join(texts, found["vertex"] == texts["th"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = found.join(least, "component").select(F.col("vertex").alias("th"), "component_id")
+    classes = cut(texts.join(linked, "th", "left").select("th", F.coalesce("component_id", "least").alias("component_id")))
+    return own.join(classes, "th").select(F.col("doc_id").alias(id_col), "th", "component_id")
+
+
+#: Lists of texts of at most so many rows (16 bytes each) are broadcast; longer ones are joined by shuffling.
+BROADCAST_TEXTS = 500_000
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
     """One document of each component: the one with the least id.
 
-    Of rows that repeat an id and a text one stays.  Rows with a null id stay only where no row of
-    their component has an id.
+    Components are those of :func:`near_duplicates`, or with a ``similarity`` those of
+    :func:`similar_documents`.  Of rows that repeat an id and a text one stays.  Rows with a null id stay
+    only where no row of their component has an id.
     """
-    near = cut(near_duplicates(docs, id_col, text_col, shingle, distance))
+    if similarity is None:
+        near = cut(near_duplicates(docs, id_col, text_col, **how))
+    else:
+        near = cut(similar_documents(docs, id_col, text_col, similarity=similarity, **how))
     name, digest = unused(docs, "_kept", "_hash")
     kept = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
     out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    if not near.groupBy(id_col, "fp").count().filter("count > 1").isEmpty():
+    again = "th" if similarity is not None else "fp"
+    if not near.groupBy(id_col, again).count().filter("count > 1").isEmpty():
         out = out.withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)
     return out

@@ -3,6 +3,7 @@ import pytest
 import corpus_pipeline
 from headway.llm import decontam, pii, simhash
 from tests.llm.test_pii import base_spans
+from tests.llm.test_simhash import similar_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,13 +25,8 @@ def test_stages_keep_the_columns(steps):
 def test_stages_against_brute_force(steps, spark):
     rows = [{r["doc_id"]: r["text"] for r in df.collect()} for df in steps[:-1]]
     assert len(rows[1]) >= 0.99 * len(rows[0])
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows[1].items()}
-    label = {i: i for i in fps}
-    while True:
-        new = {i: min(label[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 7) for i in fps}
-        if new == label:
-            break
-        label = new
+    sets = {i: set(simhash._shingles(t.encode(), 5)) for i, t in rows[1].items()}
+    label = similar_components(sets)
     assert set(rows[2]) == set(label.values())
     items = [(r["item_id"], decontam.words_of(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 13]) for _, w in items for i in range(max(1, len(w) - 12)) if w}

@@ -85,3 +85,78 @@ def test_chains_are_followed(spark):
         chain.append((i, x - (1 << 64) if x >> 63 else x))
     found = connected_components(simhash.links(spark.createDataFrame(chain, "i long, fp long").select("fp")), cut).collect()
     assert len(found) == 30 and len({r["component"] for r in found}) == 1
+
+
+def similar_components(sets, similarity=0.8):
+    """The least id of each set's component over Jaccard similarity, by brute force."""
+    label = {i: i for i in sets}
+    edges = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in edges:
+            m = min(label[i], label[j])
+            if (label[i], label[j]) != (m, m):
+                label[i] = label[j] = m
+                changed = True
+    return label
+
+
+def _families(rng, most_changes):
+    """Copies of bases with some words changed, and texts that share half of a base."""
+    rows = []
+    for family in range(6):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        for copy in range(40 if family == 0 else 8):
+            words = list(base)
+            for _ in range(0 if copy == 3 else rng.randint(1, most_changes)):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(base[:150] + [f"other{k}" for k in range(150)])))
+    return rows + [(900, "a b c"), (901, "A  b\tc"), (902, "a b d"), (903, ""), (904, None), (905, " ")]
+
+
+@pytest.mark.parametrize(("most_changes", "found"), [(2, 1.0), (6, 0.9)])
+def test_checked_similarity_against_brute_force(spark, most_changes, found):
+    """Copies are alike through their base.  Nothing else is linked; of copies at the limit few are missed."""
+    rows = _families(random.Random(12), most_changes)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = similar_components({i: set(simhash._shingles((t or "").encode(), 5)) for i, t in rows})
+    assert all(want[i] == want[c] for i, c in got.items())
+    copies = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in copies) >= found * len(copies)
+
+
+def test_hubs_are_the_neighbours_of_most_links():
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(-(2**63), 2**63 - 1))
+    values = {base}
+    while len(values) < 200:
+        x = base
+        for bit in rng.integers(0, 64, rng.integers(1, 6)):
+            x ^= -(1 << 63) if bit == 63 else 1 << int(bit)
+        values.add(x)
+    v = np.array(sorted(values), np.int64)
+    near = (np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= 5) & (v[:, None] != v[None, :])
+    degree = near.sum(axis=1)
+    x, y = np.nonzero(near)
+    for edges in (simhash._hubs(v[x], v[y]), simhash._near_hubs(v, v, 5)):
+        best = {}
+        for a, b in edges.tolist():
+            best.setdefault(a, []).append(b)
+        at = {int(k): i for i, k in enumerate(v)}
+        for i, a in enumerate(v.tolist()):
+            if degree[i]:
+                top = degree[near[i]].max()
+                assert any(degree[at[b]] == top and near[i, at[b]] for b in best[a])
+
+
+def test_checked_similarity_on_odd_tables(odd_docs, no_docs):
+    got = simhash.similar_documents(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by_id = {r["doc_id"]: r["component_id"] for r in got}
+    assert by_id[0] == by_id[1] == by_id[2] == 0 and by_id[5] == by_id[6] == 5 and by_id[7] == by_id[8] == 7
+    kept = simhash.one_of_each(odd_docs, similarity=0.8)
+    assert kept.columns == odd_docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((i is None, i) for i in [0, 3, 4, 5, 7, 9, None])
+    assert simhash.one_of_each(no_docs, similarity=0.8).count() == 0
