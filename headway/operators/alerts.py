@@ -33,18 +33,39 @@ def audited(alerts: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
 
 
 def handovers(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
-    """Edges (a, b) of alerts of one line where one leaves about when the other comes, with one cause or
-    an unknown one.
+    """Edges (a, b) whose components are those of all hand-overs: two alerts of one line, one of which leaves
+    within the gap of the other's coming, with one cause or an unknown one.
 
-    Ends and beginnings meet by equality of time slots as long as the gap (an end looks into its own slot
-    and both neighbours), so no pair of far-off alerts is ever formed.
+    Ends and beginnings go by time slots as long as the gap.  Inside a slot all of them are near enough;
+    between a slot and the next, whoever is near enough to any is near enough to the first (or the last)
+    there.  So each alert is linked to those alone: a few edges an alert, however many are near it.
+    An unknown cause counts among every cause.
     """
-    each = alerts.select("alert_id", "cause", (F.unix_micros(F.col("first_seen").cast("timestamp")) / 1e6).alias("first"), (F.unix_micros(F.col("last_seen").cast("timestamp")) / 1e6).alias("last"), F.explode("lines").alias("line"))
-    ends = each.select("line", F.col("alert_id").alias("a"), F.col("cause").alias("cause_a"), "last", F.explode(F.array(*[F.floor(F.col("last") / gap_s) + d for d in (-1, 0, 1)])).alias("slot"))
-    begins = each.select("line", F.col("alert_id").alias("b"), F.col("cause").alias("cause_b"), "first", F.floor(F.col("first") / gap_s).alias("slot"))
-    near = F.abs(F.col("first") - F.col("last")) <= gap_s
-    alike = (F.col("cause_a") == F.col("cause_b")) | (F.col("cause_a") == UNKNOWN) | (F.col("cause_b") == UNKNOWN)
-    return ends.join(begins, ["line", "slot"]).filter(near & alike & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    gap = gap_s * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    causes = alerts.agg(F.collect_set("cause").alias("_all"))  # a row; causes are an enum's names
+    own = alerts.select("alert_id", "cause", micros("first_seen").alias("first"), micros("last_seen").alias("last"), F.explode("lines").alias("line"))
+    of = F.explode(F.when(F.col("cause") == UNKNOWN, F.col("_all")).otherwise(F.array("cause"))).alias("among")
+    each = own.join(F.broadcast(causes)).select("alert_id", "first", "last", "line", of)
+
+    def side(time: str, name: str) -> tuple[DataFrame, DataFrame]:
+        t = F.col(time)
+        by = each.select("line", "among", F.floor(t / gap).alias("slot"), "alert_id", t.alias("t"))
+        order = F.struct("t", "alert_id")
+        return by, by.groupBy("line", "among", "slot").agg(*[f("alert_id", order).alias(f"{name}_{k}") for k, f in (("low", F.min_by), ("high", F.max_by))], F.min("t").alias("low"), F.max("t").alias("high"))
+
+    ends, end_marks = side("last", "id")
+    begins, begin_marks = side("first", "id")
+    out = None
+    for rows, marks in ((ends, begin_marks), (begins, end_marks)):
+        near = rows.withColumn("step", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
+        near = near.withColumn("slot", F.col("slot") + F.col("step")).join(marks, ["line", "among", "slot"])
+        # The slot before is met by its last one, its own and the next by their first.
+        other = F.when(F.col("step") == -1, F.col("id_high")).otherwise(F.col("id_low"))
+        at = F.when(F.col("step") == -1, F.col("high")).otherwise(F.col("low"))
+        edges = near.filter(F.abs(at - F.col("t")) <= gap).select(F.col("alert_id").alias("a"), other.alias("b"))
+        out = edges if out is None else out.unionByName(edges)
+    return out.filter("a <> b").distinct()
 
 
 def incidents(alerts: DataFrame, cut: Callable[[DataFrame], DataFrame], gap_s: int = REPUBLISH_GAP_S) -> DataFrame:

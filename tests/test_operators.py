@@ -161,11 +161,28 @@ def test_alert_rules_and_incidents(spark):
     assert alerts.passages(picked, found).first()["text"].count("\n") == 4
 
 
-def test_handovers_need_a_line_a_time_and_a_cause(spark):
-    rows = [("a", "X", ["T1"], 0, 10), ("b", "X", ["T4"], 11, 12), ("c", "Y", ["T1"], 11, 12), ("d", "X", ["T1"], 46, 50), ("e", "UNKNOWN_CAUSE", ["T1"], 45, 60)]
+def test_handovers_equal_all_pairs(spark):
+    """Components of the few edges are those of all hand-overs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        a = rng.randint(0, 3000)
+        rows.append((f"{i:03d}", rng.choice(["X", "Y", "UNKNOWN_CAUSE"]), rng.sample(["T1", "T4"], rng.randint(1, 2)), a, a + rng.choice([0, 5, 35, 70, 200])))
     df = spark.createDataFrame([(i, c, x, at(a), at(b)) for i, c, x, a, b in rows], "alert_id string, cause string, lines array<string>, first_seen timestamp, last_seen timestamp")
-    got = {tuple(sorted(r)) for r in alerts.handovers(df).collect()}
-    assert got == {("a", "e"), ("c", "e"), ("d", "e")}
+    label = {r[0]: r[0] for r in rows}
+    links = [(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and set(p[2]) & set(q[2]) and min(abs(q[3] - p[4]), abs(p[3] - q[4])) <= 35 and (p[1] == q[1] or "UNKNOWN_CAUSE" in (p[1], q[1]))]
+    changed = True
+    while changed:
+        changed = False
+        for p, q in links:
+            m = min(label[p], label[q])
+            if (label[p], label[q]) != (m, m):
+                label[p] = label[q] = m
+                changed = True
+    edges = alerts.handovers(df)
+    assert {tuple(sorted(r)) for r in edges.collect()} <= set(links)
+    found = {r["vertex"]: r["component"] for r in connected_components(edges, _cut).collect()}
+    assert {i: found.get(i, i) for i in label} == label
 
 
 def test_cut_points():
