@@ -17,6 +17,7 @@ result; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Iterator
 from itertools import repeat
 
@@ -270,76 +271,171 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-#: Of texts whose five-word shingles are 0.8 alike or more: the distance within which one of the fingerprints of
-#: their distinct words, by each of these seeds, lies nearly always.
-CHECKED_DISTANCE = 5
-CHECKED_SEEDS = (42, 43)
+def _hashed(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes (of 64 bits) of a text's shingles, in order."""
+    import xxhash
 
+    parts = _shingles(text, shingle)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
+
+
+def _set_hash(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
-def _word_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th (a hash of the text) and fps, a fingerprint of the distinct words by each seed."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
+
+#: Shingles in at least one of so many texts rank as common; there are at most so many times a text's shingles of them.
+COMMON = 4096
+#: Shingle hashes that a task counts at once.
+_COUNTED = 2_000_000
+
+
+def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, in order, and about how many texts have each."""
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1])], ["t", "n"])
+
+        size = 0
         for batch in batches:
-            words = [set(_shingles(t.as_py(), 1)) for t in batch.column(2)]
-            fps = np.array([[_simhash(w, seed) for seed in CHECKED_SEEDS] for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.tolist(), pa.list_(pa.int64()))], ["doc_id", "th", "fps"])
+            for text in batch.column(0):
+                held.append(_hashed(text.as_py(), shingle))
+                size += len(held[-1])
+                if size >= _COUNTED:
+                    yield counted()
+                    size = 0
+        if held:
+            yield counted()
+
+    least = max(3, docs.count() // COMMON)
+    got = rows.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    t, n = (got.column(c).to_numpy().astype(np.int64) for c in ("t", "n"))
+    order = np.argsort(t.view(np.uint64))
+    return t.view(np.uint64)[order], n[order]
+
+
+def _rarest(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, th (a hash of the text), sh (one of its set of shingles), size (of the set) and toks.
+
+    toks: the set's first hashes, uncommon ones first, as many as it takes that of two sets that are alike
+    one of the first is in both.  Any order of all hashes gives that; this one keeps groups small.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, shingle))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, fps array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = sent.value
+        for batch in batches:
+            hashes, sizes, toks = [], [], []
+            for text in batch.column(2):
+                s = _hashed(text.as_py(), shingle)
+                hashes.append(_set_hash(s))
+                sizes.append(len(s))
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                toks.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-6) + 1].view(np.int64))
+            ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
+            sh = pa.array(np.array(hashes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sh, pa.array(sizes, pa.int32()), lists], ["doc_id", "th", "sh", "size", "toks"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, sh long, size int, toks array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """th and s: the distinct hashes (of 32 bits) of each text's shingles."""
+    """sh and s: the distinct hashes of each text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(x, SEED) for x in _shingles(t.as_py(), shingle)], np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], ["th", "s"])
+            sets = [_hashed(t.as_py(), shingle) for t in batch.column(0)]
+            sh = np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sh", "s"])
+
+    return docs.mapInArrow(run, "sh long, s array<long>").dropDuplicates(["sh"])
 
-    return docs.mapInArrow(run, "th long, s array<int>")
 
+def _meeting(some: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u < v) of ``some`` and ``others`` of one group and two labels that can be alike.
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = CHECKED_DISTANCE) -> DataFrame:
+    What stands before the first hash that two sets share is in one of them only, so the group of that
+    hash bounds what they have in common.
+    """
+    named = lambda df, *names: df.select("t", *[F.col(c).alias(n) for c, n in zip(("sh", "size", "pos", "label"), names, strict=True)])
+    both = named(some, "x", "m", "i", "k").join(named(others, "y", "n", "j", "l"), "t")
+    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    able = most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-6
+    return both.filter((F.col("k") != F.col("l")) & able).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+
+
+#: Groups of at most so many texts meet in all pairs at once, and so do groups that have so few pairs left in all.
+SMALL_GROUP = 12
+FEW_PAIRS = 5_000_000
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col``, th and component_id, linked by the similarity (Jaccard) of whole texts' shingles.
 
-    Candidates are links of SimHash fingerprints of distinct words (by two seeds, so that what one misses
-    the other finds), which a copy with some words changed leaves near; each is then checked exactly.  In a
-    group of very many near fingerprints every text is checked against the one with the most neighbours,
-    which is what its copies are copies of.  Texts without words are alike.
+    Two sets that are alike share one of their rarest hashes (:func:`_rarest`), so all links are among the
+    groups of texts with such a hash; each candidate is checked exactly.  A large group meets in rounds: all
+    its texts with a few hubs, those of fewest hashes of their own; hubs then leave, as they are checked
+    against all, and so do groups that are one component.  Rounds take ever more hubs and end when no two
+    texts of a group and of two components are unchecked.  Texts without words are alike.
     """
     prepare(docs.sparkSession)
-    own = cut(_word_fingerprints(docs, id_col, text_col))
-    texts = cut(own.groupBy("th").agg(F.min("fps").alias("fps"), F.min("doc_id").alias("least")))
-    pairs = None
-    for k in range(len(CHECKED_SEEDS)):
-        of = texts.select("th", F.col("fps")[k].alias("fp"))
-        reps = cut(of.groupBy("fp").agg(F.min("th").alias("rep")))
-        between = links(reps.select("fp"), distance, hubs=True)
-        far = between.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        same = of.join(reps, "fp").filter("th <> rep").select(F.col("rep").alias("u"), F.col("th").alias("v"))
-        found = cut(far.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = cut(pairs.distinct())
-    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("th")).distinct())
-    n = wanted.count()
+    own = cut(_rarest(docs, id_col, text_col, shingle, similarity))
+    texts = cut(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id")).alias("first")))
+    each = own.select("sh", "size", F.posexplode("toks").alias("pos", "t"))
+    shared = cut(each.groupBy("t").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).filter("a < b").select("t"))
+    members = cut(each.join(F.broadcast(shared) if shared.count() <= BROADCAST_TEXTS else shared, "t").distinct().withColumn("label", F.col("sh")))
+    sizes = cut(members.groupBy("t").agg(F.count("*").alias("many")))
+    members = members.join(sizes, "t")
     rows = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    firsts = wanted.join(texts.select("th", "least"), "th").select(F.col("th").alias("_th"), "least")
-    on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("least"))
-    picked = rows.join(F.broadcast(firsts) if n <= BROADCAST_TEXTS else firsts, on, "left_semi").select("th", "_text")
-    sets = cut(_shingle_sets(picked, shingle))
-    left = pairs.join(sets.select(F.col("th").alias("u"), F.col("s").alias("a")), "u")
-    both = left.join(sets.select(F.col("th").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = common >= similarity * (F.size("a") + F.size("b") - common)
-    edges = both.filter(alike).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    found = connected_components(edges, cut)
-    least = found.join(texts, found["vertex"] == texts["th"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = found.join(least, "component").select(F.col("vertex").alias("th"), "component_id")
-    classes = cut(texts.join(linked, "th", "left").select("th", F.coalesce("component_id", "least").alias("component_id")))
-    return own.join(classes, "th").select(F.col("doc_id").alias(id_col), "th", "component_id")
+    on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_first"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("sh")).distinct()
+        firsts = cut(wanted.join(texts, "sh").select(F.col("first.th").alias("_th"), F.col("first.doc_id").alias("_first")))
+        picked = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_TEXTS else firsts, on, "left_semi").select("_text")
+        sets = _shingle_sets(picked, shingle)
+        left = pairs.join(sets.select(F.col("sh").alias("u"), F.col("s").alias("a")), "u")
+        both = left.join(sets.select(F.col("sh").alias("v"), F.col("s").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return cut(both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+    few = members.filter(F.col("many") <= SMALL_GROUP)
+    found = connected_components(alike(cut(_meeting(few, few, similarity).distinct())), cut)
+    live, hubs_each = members.filter(F.col("many") > SMALL_GROUP), 1
+    while True:
+        labels = found.select(F.col("vertex").alias("sh"), "component")
+        live = live.drop("label").join(labels, "sh", "left").withColumn("label", F.coalesce("component", "sh")).drop("component")
+        apart = cut(live.groupBy("t").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a < b").select("t", "n"))
+        pairs_left = apart.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        if pairs_left is None:
+            break
+        live = cut(live.join(apart.select("t"), "t", "left_semi"))
+        if last := pairs_left <= FEW_PAIRS:
+            hubs = live
+        else:
+            best = live.groupBy("t", F.pmod(F.xxhash64("sh"), F.lit(hubs_each))).agg(F.min(F.struct("pos", "sh", "size", "label")).alias("h"))
+            hubs = cut(best.select("t", "h.*"))
+        links_found = alike(cut(_meeting(hubs, live, similarity).distinct()))
+        found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(links_found), cut)
+        if last:
+            break
+        live = live.join(hubs.select("t", "sh"), ["t", "sh"], "left_anti")
+        hubs_each *= 4
+    least = found.join(texts.select("sh", "least"), found["vertex"] == texts["sh"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = found.join(least, "component").select(F.col("vertex").alias("sh"), "component_id")
+    classes = cut(texts.join(linked, "sh", "left").select("sh", F.coalesce("component_id", "least").alias("component_id")))
+    return own.join(classes, "sh").select(F.col("doc_id").alias(id_col), "th", "component_id")
 
 
 #: Lists of texts of at most so many rows (16 bytes each) are broadcast; longer ones are joined by shuffling.

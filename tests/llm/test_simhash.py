@@ -160,3 +160,21 @@ def test_checked_similarity_on_odd_tables(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((i is None, i) for i in [0, 3, 4, 5, 7, 9, None])
     assert simhash.one_of_each(no_docs, similarity=0.8).count() == 0
+
+
+def _equals_brute_force(spark, texts):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == similar_components({i: set(simhash._shingles(t.encode(), 5)) for i, t in enumerate(texts)})
+
+
+def test_all_copies_meet_their_base(spark):
+    """Whichever text of a family of one fingerprint has the least hash."""
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    _equals_brute_force(spark, texts)
