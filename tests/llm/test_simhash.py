@@ -178,3 +178,17 @@ def test_all_copies_meet_their_base(spark):
             words[at] = f"new{rng.random()}"
         texts.append(" ".join(words))
     _equals_brute_force(spark, texts)
+
+
+def test_large_groups_are_closed_over_chains(spark, monkeypatch):
+    """Families without a base, of copies of copies, also where groups meet by hubs in rounds to the end."""
+    monkeypatch.setattr(simhash, "FEW_PAIRS", 0)
+    rng = random.Random(32)
+    texts = []
+    for _ in range(2):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        for k in range(90):
+            for at in rng.sample(range(0, 300, 3), 1 + k % 6):
+                words[at] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+    _equals_brute_force(spark, texts)
