@@ -192,3 +192,11 @@ def test_large_groups_are_closed_over_chains(spark, monkeypatch):
                 words[at] = f"new{rng.random()}"
             texts.append(" ".join(words))
     _equals_brute_force(spark, texts)
+
+
+def test_pairs_of_short_texts_are_found(spark):
+    """Pairs at 0.80 to 0.85 whose words' fingerprints differ in 6 to 10 bits."""
+    pairs = [(7412, 9934), (4024, 2938), (5208, 2382), (7237, 1016), (2789, 8154), (2540, 4), (205, 4)]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.col("doc_id").isin([i for p in pairs for i in p]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(got[a] == got[b] for a, b in pairs)
