@@ -11,6 +11,7 @@ row every text is ``und``.  Repeated rows repeat; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ REJECTED = 0.0005
 #: No text whose calibrated score reaches this is rejected.
 SURE = 0.35
 _KNOWN = 200_000
+#: Words of more bytes, as unspaced scripts have, are not held in memory; bytes of them whose buckets are made at once.
+LONG = 64
+PART = 4096
 
 _DROPPED = bytes([*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if b in _DROPPED else b for b in range(256))
@@ -45,16 +49,31 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TO_SPACE).split()
 
 
-def buckets_of(word: bytes) -> array:
-    """Buckets of the word with its ends marked: 2 to 4 bytes each, and the whole."""
-    word = b"<" + word[:64] + b">" if len(word) <= 64 else b"<" + word[:32] + word[-32:] + b">"
+def bucket_parts(word: bytes) -> Iterator[array]:
+    """Buckets of the word with its ends marked: 2 to 4 bytes each, and the whole; of a long run, part by part."""
+    word = b"<" + word + b">"
     n = len(word)
     crc = zlib.crc32
-    out = array("H", [crc(word[i : i + k]) & (BUCKETS - 1) for k in (2, 3, 4) for i in range(n - k + 1)])
-    out.append(crc(word, 7) & (BUCKETS - 1))
+    for a in range(0, n, PART):
+        out = array("H", [crc(word[i : i + k]) & (BUCKETS - 1) for k in (2, 3, 4) for i in range(a, min(a + PART, n - k + 1))])
+        if a + PART >= n:
+            out.append(crc(word, 7) & (BUCKETS - 1))
+        yield out
+
+
+def buckets_of(word: bytes) -> array:
+    """All of a word's buckets."""
+    out = array("H")
+    for part in bucket_parts(word):
+        out.extend(part)
     return out
 
 
+def _key(word: bytes) -> bytes:
+    """The word, or a digest of a long one (with a blank, which no word has)."""
+    return word if len(word) <= LONG else b" " + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -75,24 +94,34 @@ class Model:
     def _sums(self, words: list[bytes]) -> np.ndarray:
         """For each word the sums of its buckets' logits, and how many there are."""
         known, k = self.known, len(self.langs)
-        missing = [w for w in set(words) if w not in known]
+        keys = words if max(map(len, words), default=0) <= LONG else list(map(_key, words))
+        whole = dict(zip(keys, words, strict=True))
+        missing = [w for w in whole if w not in known]
         if len(known) + len(missing) > _KNOWN:
             known.clear()
-            missing = list(set(words))
+            missing = list(whole)
             self.table = np.zeros((0, k + 1), np.float32)
+        # Long ones, whose keys start with a blank, last.
+        missing.sort(key=lambda w: w[0] == 0x20)
         if missing or not hasattr(self, "table"):
             if not hasattr(self, "table"):
                 self.table = np.zeros((0, k + 1), np.float32)
-            each = [buckets_of(w) for w in missing]
+            each = [buckets_of(w) for w in missing if w[0] != 0x20]
+            new = np.zeros((len(missing), k + 1), np.float32)
             if each:
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
                 flat = np.frombuffer(b"".join(each), np.uint16)
-                new = np.empty((len(each), k + 1), np.float32)
-                new[:, :k] = np.add.reduceat(self.logits[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-                new[:, k] = sizes
-                known.update(zip(missing, range(len(self.table), len(self.table) + len(each)), strict=True))
-                self.table = np.concatenate([self.table, new])
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+                new[: len(each), :k] = np.add.reduceat(self.logits[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+                new[: len(each), k] = sizes
+            for i in range(len(each), len(missing)):
+                total = np.zeros(k + 1)
+                for part in bucket_parts(whole[missing[i]]):
+                    total[:k] += self.logits[np.frombuffer(part, np.uint16)].sum(axis=0, dtype=np.float64)
+                    total[k] += len(part)
+                new[i] = total
+            known.update(zip(missing, range(len(self.table), len(self.table) + len(missing)), strict=True))
+            self.table = np.concatenate([self.table, new])
+        return self.table[np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))]
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the probability of each language, and whether it has words at all."""
@@ -120,6 +149,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     for text, lang in zip(texts, langs, strict=True):
         flat = array("H")
         for w in words_of(text):
+            if len(w) > LONG:
+                flat.extend(buckets_of(w))
+                continue
             if w not in cached:
                 cached[w] = buckets_of(w)
             flat.extend(cached[w])

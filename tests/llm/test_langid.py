@@ -31,3 +31,15 @@ def test_batches_do_not_matter():
     whole, _ = model.scores(texts)
     for i, t in enumerate(texts):
         assert abs(model.scores([t])[0][0] - whole[i]).max() < 1e-6
+
+
+def test_long_runs_are_judged_whole():
+    """A word's middle counts, as in scripts without spaces."""
+    model = langid.fit(["河流石头安静" * 3, "灯光港口"] * 20 + ["แม่น้ำและหิน" * 3, "ท่าเรือ"] * 20, ["zh", "zh"] * 20 + ["th", "th"] * 20)
+    text = "ท่าเรือ" * 3 + "河流石头安静" * 4000 + "ท่าเรือ" * 3
+    for text, lang in ((text, "zh"), ("灯光港口" * 5 + "แม่น้ำและหิน" * 4000 + "灯光港口" * 5, "th")):
+        p, _ = model.scores([text, "a b"])
+        assert model.langs[p[0].argmax()] == lang
+    word = text.encode()
+    marked = b"<" + word + b">"
+    assert len(langid.buckets_of(word)) == 3 * len(marked) - 5
