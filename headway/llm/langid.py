@@ -34,8 +34,8 @@ EPOCHS = 6
 RATE = 0.5
 #: Share of rows kept back from training that rejection may cost, at most.
 REJECTED = 0.0005
-#: No text whose calibrated score reaches this is rejected.
-SURE = 0.35
+#: Where the rejection threshold lies between an even share of all languages (0) and the least score of kept-back rows (1).
+MARGIN = 0.5
 _KNOWN = 200_000
 #: Words of more bytes, as unspaced scripts have, are not held in memory; bytes of them whose buckets are made at once.
 LONG = 64
@@ -194,7 +194,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
         grid = np.geomspace(0.2, 5, 33)
         model.temperature = float(min(grid, key=lambda t: -np.log(softmax(t)[np.arange(len(y)), y] + 1e-9).mean()))
         best = np.sort(softmax(model.temperature).max(axis=1))
-        model.threshold = float(min(SURE, best[int(REJECTED * len(best))] * 0.9))
+        model.threshold = float(1 / k + MARGIN * (best[int(REJECTED * len(best))] - 1 / k))
     return model
 
 

@@ -43,3 +43,12 @@ def test_long_runs_are_judged_whole():
     word = text.encode()
     marked = b"<" + word + b">"
     assert len(langid.buckets_of(word)) == 3 * len(marked) - 5
+
+
+def test_rejection_is_relative_to_the_number_of_languages():
+    """Between an even share and the least kept-back score, also for two languages."""
+    words = {"en": "the river stone of lamp", "de": "der fluss stein und lampe"}
+    model = langid.fit([words[x] for x in words] * 40, list(words) * 40)
+    assert 0.5 < model.threshold < 1
+    p, _ = model.scores(["the river stone of lamp", "the fluss der river stein stone"])
+    assert p[0].max() >= model.threshold > 0.5
