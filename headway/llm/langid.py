@@ -199,15 +199,22 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
 
 
 def train(docs: DataFrame, used: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of about ``rows`` of the rows where ``used`` holds, picked by a hash of the id."""
+    """A model of about ``rows`` of the rows where ``used`` holds, picked by a hash of the id.
+
+    Longer texts than ``chars`` are used only for languages of which no shorter one was picked: a piece of each.
+    """
     labelled = docs.filter(used & F.col(lang_col).isNotNull())
     n = labelled.count()
     if not n:
         return None
     below = int(min(1.0, rows / n) * (1 << 32))
-    picked = labelled.filter((F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < below) & (F.length(text_col) <= chars))
-    sample = picked.select(F.col(id_col), F.col(text_col), F.col(lang_col)).limit(2 * rows).collect()
-    sample = sorted((r for r in sample if has_letter(r[1])), key=lambda r: (str(r[0]), r[1], r[2]))
+    picked = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < below)
+    over = F.greatest(F.length(text_col) - chars, F.lit(0))
+    piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(id_col), over + 1).cast("int") + 1, F.lit(chars))
+    sample = picked.filter(F.col(text_col).isNotNull()).select(F.col(id_col), piece, F.col(lang_col), over > 0).limit(2 * rows).collect()
+    sample = [r for r in sample if has_letter(r[1])]
+    whole = {r[2] for r in sample if not r[3]}
+    sample = sorted((r for r in sample if not r[3] or r[2] not in whole), key=lambda r: (str(r[0]), r[1], r[2]))
     if not sample:
         return None
     return fit([r[1] for r in sample], [r[2] for r in sample])

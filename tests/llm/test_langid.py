@@ -52,3 +52,11 @@ def test_rejection_is_relative_to_the_number_of_languages():
     assert 0.5 < model.threshold < 1
     p, _ = model.scores(["the river stone of lamp", "the fluss der river stein stone"])
     assert p[0].max() >= model.threshold > 0.5
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(i, "the river and stone " * 3, "en") for i in range(30)] + [(100 + i, "der fluss und stein " * 1500, "de") for i in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == ["de", "en"]
+    long = langid.train(spark.createDataFrame(rows[30:], "doc_id long, text string, lang string"), F.lit(True))
+    assert long.langs == ["de"]
