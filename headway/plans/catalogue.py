@@ -843,7 +843,7 @@ def gbt_delay(spark, sf_dir):
     rows = _calls(spark, sf_dir).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month")), "l_orderkey")
     rows = _cut(reconcile.with_split(rows, "month"))
     numbers = ("guess", "l_linenumber")
-    model = models.fit_delay(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), numbers, ("l_returnflag",), label="truth", grid=models.DELAY_GRID[:2], rounds=10)
+    model = models.fit_delay(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), numbers, ("l_returnflag",), label="truth")
     out = model.transform(models.prepared(rows.filter("split = 'test'"), numbers))
     return evalstats.regression_scores(out, "truth", "prediction", "guess")
 

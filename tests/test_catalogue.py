@@ -57,3 +57,19 @@ def test_entry_runs(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() == 1200 and "target" in df.columns
     assert set(SQL) <= set(__spark_entry__.oracle_sql()) and set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_gbt_delay_tries_the_whole_grid(spark, sf_dir, monkeypatch):
+    from headway.operators import models
+    from headway.plans import catalogue
+
+    class Called(Exception):
+        pass
+
+    def fit(*args, **how):
+        assert not {"grid", "rounds"} & set(how) and len(args) <= 5
+        raise Called
+
+    monkeypatch.setattr(models, "fit_delay", fit)
+    with pytest.raises(Called):
+        catalogue.queries()["gbt_delay"](spark, sf_dir)
