@@ -135,7 +135,10 @@ def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col:
         m = np.array([r[1] for r in part], np.float64)
         sent = spark.sparkContext.broadcast((names, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)))
 
-        def run(batches, sent=sent):
+        guarded = guard is not None
+        seen = rows.withColumn("ok", F.array(*[F.coalesce(guard(F.lit(r[0]), F.col("id")), F.lit(False)) for r in part])) if guarded else rows
+
+        def run(batches, sent=sent, guarded=guarded):
             names, q = sent.value
             kept: list[list] = [[] for _ in names]
             for pdf in batches:
@@ -144,19 +147,18 @@ def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col:
                 ids = pdf["id"].to_numpy()
                 v = np.array(pdf["v"].tolist(), np.float64)
                 s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T
+                ok = np.array(pdf["ok"].tolist(), bool) if guarded else None
                 for i, row in enumerate(s):
-                    good = np.flatnonzero(ids != names[i])
+                    good = np.flatnonzero((ids != names[i]) & ok[:, i] if guarded else ids != names[i])
                     top = good[np.lexsort((ids[good], -row[good]))[:k]]
                     kept[i] = sorted(kept[i] + [(-row[j], ids[j]) for j in top])[:k]
             out = [(names[i], x, -s) for i, each in enumerate(kept) for s, x in each]
             yield pd.DataFrame(out, columns=["query", "id", "score"])
 
-        got = rows.mapInPandas(run, "query long, id long, score double")
+        got = seen.mapInPandas(run, "query long, id long, score double")
         found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query long, id long, score double, rank int")
-    if guard is not None:
-        found = found.filter(guard(F.col("query"), F.col("id")))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -315,3 +315,9 @@ def test_tools_see_nothing_at_or_after_the_moment(spark):
     calls = spark.createDataFrame([("t", "s2", 1, 100), ("t", "s3", 2, 200)], "trip_id string, stop_id string, stop_sequence int, scheduled_arrival_s int")
     out = tools.expected_delays(live, calls).collect()
     assert [(r["trip_id"], r["next_stop_id"], r["expected_delay_s"]) for r in out] == [("t", "s3", 100.0)]
+
+
+def test_guard_of_many_queries_acts_before_the_best_are_kept(spark):
+    rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(40)], "id long, v array<double>").coalesce(1)
+    got = retrieval.top_k_for(rows.filter("id = 0"), rows, 3, "v", "id", guard=lambda q, x: x > q + 20).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [21, 22, 23]
