@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is an equi-join and an aggregation with map-side combining, so a vertex with very many
-edges costs no more memory than another, and the number of rounds grows with the logarithm of the
-longest path.  Nothing but two numbers a round reaches the driver.
+Every step is an equi-join and an aggregation with map-side combining.  The centres of large stars, of
+which there can be a bounded number only, are joined by broadcast, so that no task gets all edges of
+one; the number of rounds grows with the logarithm of the longest path.  Nothing but two numbers a
+round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,16 +13,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A vertex is hot that has at least so many edges, and at least its share of all: 2 * _HOT_SHARE vertices at most.
+_HOT_EDGES = 512
+_HOT_SHARE = 2000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _with_least(rows: DataFrame, least: DataFrame, hot_from: int) -> DataFrame:
+    """``rows`` (c, n) with m, the least vertex around c, from ``least`` (c, m, degree)."""
+    hot = least.filter(F.col("degree") >= hot_from).select("c", F.col("m").alias("_hot"))
+    known = rows.join(F.broadcast(hot), "c", "left")
+    rest = known.filter("_hot IS NULL").drop("_hot").join(least.filter(F.col("degree") < hot_from).select("c", "m"), "c")
+    return known.filter("_hot IS NOT NULL").withColumnRenamed("_hot", "m").unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
     """Edges (v > u): each vertex's neighbours are linked to the least vertex around it."""
     if large:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m")).select("c", F.least("c", "m").alias("m"))
-        out = both.filter("u > v").select(F.col("v").alias("c"), F.col("u").alias("n")).join(least, "c")
+        least = both.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"), F.count("*").alias("degree")).select("c", F.least("c", "m").alias("m"), "degree")
+        out = _with_least(both.filter("u > v").select(F.col("v").alias("c"), F.col("u").alias("n")), least, hot_from)
         return out.select(F.col("n").alias("v"), F.col("m").alias("u")).distinct()
-    least = edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-    out = edges.select(F.col("v").alias("c"), F.col("u").alias("n")).join(least, "c")
+    # Rows of a vertex, as the larger end, are at most as many as it has smaller neighbours: few after a large star.
+    least = edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"), F.count("*").alias("degree"))
+    out = _with_least(edges.select(F.col("v").alias("c"), F.col("u").alias("n")), least, hot_from)
     moved = out.filter("n > m").select(F.col("n").alias("v"), F.col("m").alias("u"))
     return moved.unionByName(least.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
 
@@ -39,7 +53,8 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = cut(_star(_star(now, True), False))
+        hot_from = max(_HOT_EDGES, seen[0] // _HOT_SHARE)
+        now = cut(_star(_star(now, True, hot_from), False, hot_from))
         if (after := print_of(now)) == seen:
             break
         seen = after
