@@ -72,16 +72,16 @@ def _simhash(parts: Collection[bytes], seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint as a signed 64-bit number) of every row."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def _differing(x: np.ndarray) -> np.ndarray:
@@ -118,46 +118,12 @@ def _near(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
     return _stars(stars[:, 0], stars[:, 1])
 
 
-def _hubs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of the links (x, y), for each end the one to its neighbour of the most links (of equal ones, the least)."""
-    a, b = np.r_[x, y], np.r_[y, x]
-    ends, at, degree = np.unique(b, return_inverse=True, return_counts=True)
-    order = np.lexsort((ends[at], -degree[at], a))
-    first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
-    return np.column_stack([a[first], b[first]])
-
-
-def _near_hubs(entries: np.ndarray, probes: np.ndarray, distance: int) -> np.ndarray:
-    """As :func:`_hubs` over one large group, in two passes of slices: degrees, then the best neighbours."""
-    step = max(1, _PAIRS // max(1, len(probes)))
-    slices = [(i, entries[i : i + step]) for i in range(0, len(entries), step)]
-    near = lambda part: (_differing(part[:, None] ^ probes[None, :]) <= distance) & (part[:, None] != probes[None, :])
-    of_entry, of_probe = np.zeros(len(entries), np.int64), np.zeros(len(probes), np.int64)
-    for i, part in slices:
-        m = near(part)
-        of_entry[i : i + len(part)] = m.sum(axis=1)
-        of_probe += m.sum(axis=0)
-    best, of_best, out = np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64), []
-    for i, part in slices:
-        m = near(part)
-        weight = m * of_probe[None, :]
-        some = weight.max(axis=1, initial=0) > 0
-        out.append(np.column_stack([part[some], probes[weight.argmax(axis=1)[some]]]))
-        weight = m * of_entry[i : i + len(part), None]
-        top = weight.max(axis=0)
-        better = top > of_best
-        best[better], of_best[better] = part[weight.argmax(axis=0)[better]], top[better]
-    out.append(np.column_stack([probes[of_best > 0], best[of_best > 0]]))
-    return np.concatenate(out)
-
-
 #: Distances taken at once.
 _PAIRS = 1 << 20
 
 
-def _linked(batches: Iterator[pa.RecordBatch], distance: int, hubs: bool) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Edges of rows (segment, value, tblock, pblock, entry, fp) that come sorted by group, probes first."""
-    of_large, of_many = (_near_hubs, _hubs) if hubs else (_near, _stars)
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -168,7 +134,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int, hubs: bool) -> Ite
         live = (entries > 0) & (probes > 1)
         starts, entries, probes = starts[live], entries[live], probes[live]
         work = entries * probes
-        out = [of_large(rows[s + p : s + p + t, 5], rows[s : s + p, 5], distance) for s, t, p in zip(*(v[work > _PAIRS].tolist() for v in (starts, entries, probes)), strict=True)]
+        out = [_near(rows[s + p : s + p + t, 5], rows[s : s + p, 5], distance) for s, t, p in zip(*(v[work > _PAIRS].tolist() for v in (starts, entries, probes)), strict=True)]
         small = np.flatnonzero(work <= _PAIRS)
         for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // _PAIRS)) + 1) if len(small) else ():
             # Every entry of a group beside every probe of it, for many groups at once.
@@ -184,7 +150,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int, hubs: bool) -> Ite
             many = n[each] > 4 * (entries + probes)[each]
             out.append(np.column_stack([x[~many], y[~many]]))
             for g in np.unique(each[many]):
-                out.append(of_many(x[each == g], y[each == g]))
+                out.append(_stars(x[each == g], y[each == g]))
         edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         if len(edges):
             edges = np.unique(np.sort(edges, axis=1), axis=0)
@@ -218,12 +184,8 @@ def _blocks(table: DataFrame, bounds: list[int], block: int) -> DataFrame:
     return sums.select("segment", "value", count("entries").alias("tparts"), count("probes").alias("pparts"))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, hubs: bool = False) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``.
-
-    With ``hubs``: the links themselves where a group has few, else each value's to its neighbour of the
-    most links, for edges that are to be checked one by one.
-    """
+def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the distinct values ``fps.fp``."""
     spark = prepare(fps.sparkSession)
     segments = distance // 2 + 1
     bounds = [64 * i // segments for i in range(segments + 1)]
@@ -254,21 +216,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, hubs: bo
     key = ["segment", "value", "tblock", "pblock"]
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(shuffles, *key).sortWithinPartitions(*key, "entry")
-    return dealt.mapInArrow(lambda batches: _linked(batches, distance, hubs), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``id_col``, fp and component_id (the least id reachable over links, the row's own included)."""
+    """``id_col``, th (a hash of the text), fp, root (one number a component) and component_id (the least id
+    reachable over links, the row's own included)."""
     prepare(docs.sparkSession)
     own = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(distinct.select("fp"), distance)
     found = connected_components(edges, cut)
     least = found.join(distinct, found["vertex"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = found.join(least, "component").select(F.col("vertex").alias("fp"), "component_id")
+    linked = found.join(least, "component").select(F.col("vertex").alias("fp"), "component", "component_id")
     # Cut, so that the last join's sides are both plain shuffles: a fingerprint with very many rows is then split.
-    classes = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return own.join(classes, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    classes = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    return own.join(classes, "fp").select(F.col("doc_id").alias(id_col), "th", "fp", "root", "component_id")
 
 
 def _hashed(text: bytes | None, shingle: int) -> np.ndarray:
@@ -321,33 +284,154 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, n
     return t.view(np.uint64)[order], n[order]
 
 
-def _rarest(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, th (a hash of the text), sh (one of its set of shingles), size (of the set) and toks.
+#: Bits of a text's parity bitmap in the groups of candidates.
+PARITY = 512
+#: Groups of more texts than this are one family without a look at their bitmaps.
+GLUED = 1024
+#: Texts, and shingles of them, of one block of a family.
+FAMILY_ROWS = 2048
+FAMILY_SHINGLES = 2_000_000
+#: Texts of a large family that are in each of its blocks.
+HUBS = 8
+#: Lists of texts of at most so many rows (some 40 bytes each) are broadcast; longer ones are joined by shuffling.
+BROADCAST_TEXTS = 500_000
+
+
+def _parity(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Words of 64 bits; a bit is the parity of the number of hashes that fall on it.
+
+    Bits that differ between two sets are at most as many as the hashes that are in one of them only.
+    """
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
 
+def _unlike(m, n, similarity: float):
+    """The most hashes in one only of two sets of sizes m and n that are alike."""
+    return (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, th (a hash of the text), and of its set of shingles: sh (a hash), size, rare, fp, bits and toks.
+
+    fp is the SimHash of the distinct words, bits the parity bitmap, rare the number of uncommon hashes.
     toks: the set's first hashes, uncommon ones first, as many as it takes that of two sets that are alike
     one of the first is in both.  Any order of all hashes gives that; this one keeps groups small.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, shingle))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    names = ["doc_id", "th", "sh", "size", "rare", "fp", "bits", "toks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for batch in batches:
-            hashes, sizes, toks = [], [], []
+            hashes, sizes, rare, fps, bits, toks = [], [], [], [], [], []
             for text in batch.column(2):
-                s = _hashed(text.as_py(), shingle)
+                text = text.as_py()
+                s = _hashed(text, shingle)
                 hashes.append(_set_hash(s))
                 sizes.append(len(s))
+                fps.append(_simhash(set(text.lower().split()) if text else (), SEED))
+                bits.append(_parity(s, PARITY).tobytes())
+                known = np.zeros(len(s), np.int64)
                 if len(common) and len(s):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                    known = np.where(common[at] == s, counts[at], 0)
+                    s = s[np.argsort(known, kind="stable")]
+                rare.append(int((known == 0).sum()))
                 toks.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-6) + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
-            sh = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sh, pa.array(sizes, pa.int32()), lists], ["doc_id", "th", "sh", "size", "toks"])
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), signed(hashes), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), signed(fps), pa.array(bits, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ids = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {ids}, th long, sh long, size int, rare int, fp long, bits binary, toks array<long>")
+
+
+def _components(adjacent: np.ndarray) -> np.ndarray:
+    """The least place of each place's component, of a small dense symmetric graph."""
+    label = np.arange(len(adjacent))
+    while True:
+        after = np.minimum(label, np.where(adjacent, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, sh long, size int, toks array<long>")
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, at_least: int) -> Iterator[pa.Table]:
+    """Whole groups of rows that come sorted by their first ``keys`` columns: of many small groups, or of one large one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    key = lambda batch, i: [batch.column(c)[i].as_py() for c in range(keys)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < at_least or key(batch, batch.num_rows - 1) == key(held[0], 0):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(table.num_rows, bool)
+        for c in range(keys):
+            column = table.column(c).to_numpy()
+            same &= column == column[-1]
+        last = int(np.flatnonzero(~same)[-1]) + 1
+        yield table.slice(0, last)
+        held = table.slice(last).combine_chunks().to_batches()
+        size = table.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(table: pa.Table, keys: int) -> np.ndarray:
+    """Where groups start, and the end."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in range(keys):
+        column = table.column(c).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.r_[np.flatnonzero(new), table.num_rows]
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of fingerprints in groups of rows (t, fp, size, pos, bits), whose components are those of the pairs that can be alike.
+
+    What stands before the first hash that two sets share is in one of them only, so the group of that
+    hash bounds what they have in common, and their bitmaps bound what they have not.
+    """
+    for table in _groups(batches, 1, _PAIRS // 16):
+        fp, size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("fp", "size", "pos"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        starts = _starts(table, 1)
+        many = np.diff(starts)
+
+        def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            most = np.minimum(size[x] - pos[x], size[y] - pos[y])
+            good = (most * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6) & (fp[x] != fp[y])
+            good[good] = np.bitwise_count(bits[x[good]] ^ bits[y[good]]).sum(axis=1) <= _unlike(size[x[good]], size[y[good]], similarity)
+            return good
+
+        out = []
+        for g in np.flatnonzero(many > 64):
+            each = np.arange(starts[g], starts[g + 1])
+            adjacent = np.concatenate([able(*(v.ravel() for v in np.meshgrid(part, each, indexing="ij"))).reshape(len(part), -1) for part in np.array_split(each, -(-len(each) ** 2 * 8 // _PAIRS))])
+            label = _components(adjacent)
+            out.append(np.column_stack([fp[each], fp[each[label]]]))
+        small = np.flatnonzero((many > 1) & (many <= 64))
+        work = many[small] ** 2
+        for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work) // (_PAIRS // 8))) + 1) if len(small) else ():
+            group = np.repeat(part, many[part] ** 2)
+            at = np.arange(len(group)) - np.repeat(np.cumsum(many[part] ** 2) - many[part] ** 2, many[part] ** 2)
+            x, y = starts[group] + at // many[group], starts[group] + at % many[group]
+            x, y = x[x < y], y[x < y]
+            good = able(x, y)
+            out.append(np.column_stack([fp[x[good]], fp[y[good]]]))
+        edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        edges = np.unique(np.sort(edges[edges[:, 0] != edges[:, 1]], axis=1), axis=0)
+        if len(edges):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(edges[:, 0])], ["a", "b"])
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -359,104 +443,154 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sh = np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sh", "s"])
 
-    return docs.mapInArrow(run, "sh long, s array<long>").dropDuplicates(["sh"])
+    return docs.mapInArrow(run, "sh long, s array<long>")
 
 
-def _meeting(some: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u < v) of ``some`` and ``others`` of one group and two labels that can be alike.
+def _join_alike(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of alike sets, one of ``left`` and one of ``right``, that join all labels so linked; ``label`` is changed.
 
-    What stands before the first hash that two sets share is in one of them only, so the group of that
-    hash bounds what they have in common.
+    Each pair of two labels is looked at (with the same ``left`` and ``right``, once): bitmaps tell most that
+    are not alike, the others are compared whole.
     """
-    named = lambda df, *names: df.select("t", *[F.col(c).alias(n) for c, n in zip(("sh", "size", "pos", "label"), names, strict=True)])
-    both = named(some, "x", "m", "i", "k").join(named(others, "y", "n", "j", "l"), "t")
-    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    able = most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-6
-    return both.filter((F.col("k") != F.col("l")) & able).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-
-
-#: Groups of at most so many texts meet in all pairs at once, and so do groups that have so few pairs left in all.
-SMALL_GROUP = 12
-FEW_PAIRS = 5_000_000
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id_col``, th and component_id, linked by the similarity (Jaccard) of whole texts' shingles.
-
-    Two sets that are alike share one of their rarest hashes (:func:`_rarest`), so all links are among the
-    groups of texts with such a hash; each candidate is checked exactly.  A large group meets in rounds: all
-    its texts with a few hubs, those of fewest hashes of their own; hubs then leave, as they are checked
-    against all, and so do groups that are one component.  Rounds take ever more hubs and end when no two
-    texts of a group and of two components are unchecked.  Texts without words are alike.
+    once = left is right
+    sizes = np.array([len(s) for s in sets], np.int64)
+    width = 1 << int(np.clip(2 * int(sizes.max(initial=1)), 256, 4096) - 1).bit_length()
+    bits = np.stack([_parity(s, width) for s in sets])
+    found = []
+    for x in left.tolist():
+        if once:
+            right = right[right > x]
+        far = np.zeros(len(right), np.uint16)
+        live = label[right] != label[x]
+        if not live.any():
+            continue
+        far[live] = np.bitwise_count(bits[right[live]] ^ bits[x]).sum(axis=1, dtype=np.uint16)
+        live &= far <= _unlike(sizes[right], sizes[x], similarity)
+        order = np.argsort(far[live] / np.maximum(1, sizes[right[live]] + sizes[x]), kind="stable")
+        near = right[live][order]
+        while len(near):
+            y = int(near[0])
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if common >= similarity * (sizes[x] + sizes[y] - common) and sizes[x] and sizes[y]:
+                found.append((x, y))
+                label[label == label[y]] = label[x]
+            near = near[1:]
+            near = near[label[near] != label[x]]
+    return found
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between alike sets, of rows (family, i, j, side, label, rare, sh, s) sorted by block (family, i, j), hubs' first.
+
+    Of a block's rows those of side 0 meet those of side 1; rows of side 2 meet each other.
     """
-    prepare(docs.sparkSession)
-    own = cut(_rarest(docs, id_col, text_col, shingle, similarity))
-    texts = cut(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id")).alias("first")))
-    each = own.select("sh", "size", F.posexplode("toks").alias("pos", "t"))
-    shared = cut(each.groupBy("t").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).filter("a < b").select("t"))
-    members = cut(each.join(F.broadcast(shared) if shared.count() <= BROADCAST_TEXTS else shared, "t").distinct().withColumn("label", F.col("sh")))
-    sizes = cut(members.groupBy("t").agg(F.count("*").alias("many")))
-    members = members.join(sizes, "t")
+    for table in _groups(batches, 3, 256):
+        starts = _starts(table, 3)
+        side, sh, known = (table.column(c).to_numpy() for c in ("side", "sh", "label"))
+        lists = table.column("s").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        a, b = [], []
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if j - i < 2:
+                continue
+            sets = [flat[ends[k] : ends[k + 1]] for k in range(i, j)]
+            sides, label = side[i:j], known[i:j].copy()
+            every = np.arange(j - i)
+            left, right = (every, every) if (sides == 2).all() else (every[sides == 0], every[sides == 1])
+            links_here = _join_alike(sets, label, left, right, similarity)
+            a += [int(sh[i + x]) for x, _ in links_here]
+            b += [int(sh[i + y]) for _, y in links_here]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+    """``id_col``, th, root (one number a component) and component_id, linked by the similarity (Jaccard) of whole texts' shingles.
+
+    Families of candidates are the components of two kinds of links: those that multi-index hashing finds
+    between the SimHashes of the texts' distinct words (:func:`links`), and, as no distance of fingerprints
+    has all pairs that are alike, those between sets that share one of their rarest shingles and can be
+    alike by size, place and bitmap.  Two sets that are alike share one of these (:func:`_described`), so
+    all links lie within families.  There each pair of texts that are not yet joined is checked exactly.
+    A family of more than one block meets in two rounds: each block in itself and with a few hubs, then the
+    texts that are not in the largest component with all.  Texts without words are alike.
+    """
+    spark = prepare(docs.sparkSession)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = cut(_described(docs, id_col, text_col, shingle, similarity))
+    first = F.struct("th", "doc_id")
+    texts = cut(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("th", "doc_id", "size", "rare", "fp", "bits", "toks"), first).alias("of")).select("sh", "least", "of.*"))
+    tokens = F.posexplode("toks").alias("pos", "t")
+    shared = texts.select("sh", "fp", tokens).groupBy("t").agg(F.min("sh").alias("a"), F.max("sh").alias("b"), F.min("fp").alias("hub"), F.count("*").alias("many"))
+    shared = cut(shared.filter("a < b").select("t", "hub", "many"))
+    if shared.count() <= BROADCAST_TEXTS:
+        members = texts.select("fp", "size", "bits", tokens).join(F.broadcast(shared), "t")
+    else:
+        members = texts.select("sh", "fp", "size", tokens).join(shared, "t").join(texts.select("sh", "bits"), "sh")
+    members = cut(members.select("t", "fp", "size", "pos", F.when(F.col("many") <= GLUED, F.col("bits")).alias("bits"), "hub"))
+    glued = members.filter("bits IS NULL").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    met = members.filter("bits IS NOT NULL").drop("hub").repartition(shuffles, "t").sortWithinPartitions("t")
+    met = met.mapInArrow(lambda batches: _meeting(batches, similarity), "a long, b long")
+    edges = links(texts.select("fp").distinct(), distance).unionByName(glued).unionByName(met)
+    family = connected_components(edges, cut).withColumnRenamed("vertex", "fp")
+    named = texts.join(family, "fp", "left").select("sh", "th", "doc_id", "size", (F.col("rare") / F.greatest("size", F.lit(1))).alias("rare"), F.coalesce("component", "fp").alias("family"))
+    blocks = F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("size") / FAMILY_SHINGLES)).cast("int")
+    sized = named.groupBy("family").agg(F.count("*").alias("n"), blocks.alias("parts")).filter("n > 1").drop("n")
+    related = cut(named.join(sized, "family"))
     rows = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_first"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("sh")).distinct()
-        firsts = cut(wanted.join(texts, "sh").select(F.col("first.th").alias("_th"), F.col("first.doc_id").alias("_first")))
-        picked = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_TEXTS else firsts, on, "left_semi").select("_text")
-        sets = _shingle_sets(picked, shingle)
-        left = pairs.join(sets.select(F.col("sh").alias("u"), F.col("s").alias("a")), "u")
-        both = left.join(sets.select(F.col("sh").alias("v"), F.col("s").alias("b")), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        return cut(both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select(F.col("u").alias("a"), F.col("v").alias("b")))
-
-    few = members.filter(F.col("many") <= SMALL_GROUP)
-    found = connected_components(alike(cut(_meeting(few, few, similarity).distinct())), cut)
-    live, hubs_each = members.filter(F.col("many") > SMALL_GROUP), 1
-    while True:
-        labels = found.select(F.col("vertex").alias("sh"), "component")
-        live = live.drop("label").join(labels, "sh", "left").withColumn("label", F.coalesce("component", "sh")).drop("component")
-        apart = cut(live.groupBy("t").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a < b").select("t", "n"))
-        pairs_left = apart.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
-        if pairs_left is None:
-            break
-        live = cut(live.join(apart.select("t"), "t", "left_semi"))
-        if last := pairs_left <= FEW_PAIRS:
-            hubs = live
-        else:
-            best = live.groupBy("t", F.pmod(F.xxhash64("sh"), F.lit(hubs_each))).agg(F.min(F.struct("pos", "sh", "size", "label")).alias("h"))
-            hubs = cut(best.select("t", "h.*"))
-        links_found = alike(cut(_meeting(hubs, live, similarity).distinct()))
-        found = connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(links_found), cut)
-        if last:
-            break
-        live = live.join(hubs.select("t", "sh"), ["t", "sh"], "left_anti")
-        hubs_each *= 4
-    least = found.join(texts.select("sh", "least"), found["vertex"] == texts["sh"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = found.join(least, "component").select(F.col("vertex").alias("sh"), "component_id")
-    classes = cut(texts.join(linked, "sh", "left").select("sh", F.coalesce("component_id", "least").alias("component_id")))
-    return own.join(classes, "sh").select(F.col("doc_id").alias(id_col), "th", "component_id")
-
-
-#: Lists of texts of at most so many rows (16 bytes each) are broadcast; longer ones are joined by shuffling.
-BROADCAST_TEXTS = 500_000
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEXTS else df
+
+    def alike(placed: DataFrame) -> DataFrame:
+        """Edges found in the blocks (family, i, j) that texts are ``placed`` in."""
+        placed = cut(placed.select("th", "doc_id", "sh", "family", "i", "j", "side", "label", "rare"))
+        wanted = cut(placed.select(F.col("th").alias("_th"), F.col("doc_id").alias("_first")).distinct())
+        on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_first"))
+        sets = _shingle_sets(rows.join(small(wanted), on, "left_semi").select("_text"), shingle)
+        dealt = sets.join(small(placed), "sh").select("family", "i", "j", "side", "label", "rare", "sh", "s")
+        dealt = dealt.repartition(shuffles, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rare", "sh")
+        return cut(dealt.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"))
+
+    block = lambda n: F.pmod(F.xxhash64("sh"), n).cast("int")
+    each_block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    large = related.filter("parts > 1")
+    hubs = cut(large.groupBy("family", F.pmod(F.xxhash64("sh"), F.lit(HUBS)).alias("k")).agg(F.min(F.struct("rare", "sh"))["sh"].alias("sh")).select("sh"))
+    others = related.join(hubs, "sh", "left_anti").withColumn("i", block(F.col("parts")))
+    round_one = others.unionByName(large.join(hubs, "sh", "left_semi").withColumn("i", each_block(F.col("parts"))))
+    found = alike(round_one.withColumns({"j": F.lit(0), "side": F.lit(2), "label": F.col("sh")}))
+    labels = connected_components(found, cut).withColumnRenamed("vertex", "sh")
+    apart = cut(large.join(labels, "sh", "left").withColumn("label", F.coalesce("component", "sh")).drop("component"))
+    counted = apart.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    main = counted.groupBy("family").agg(F.max(F.struct("n", "m", "label")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    beside = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / FAMILY_ROWS), F.ceil((F.col("m") - F.col("top.m")) / FAMILY_SHINGLES)).cast("int")
+    main = cut(main.select("family", F.col("top.label").alias("main"), beside.alias("lefts")).filter("lefts > 0"))
+    if not main.isEmpty():
+        both = apart.join(main, "family")
+        left = both.filter("label <> main").withColumns({"i": block(F.col("lefts")), "side": F.lit(0)}).withColumn("j", each_block(F.col("parts")))
+        right = both.withColumns({"j": block(F.col("parts")), "side": F.lit(1)}).withColumn("i", each_block(F.col("lefts")))
+        labels = connected_components(found.unionByName(alike(left.unionByName(right))), cut).withColumnRenamed("vertex", "sh")
+    least = labels.join(texts.select("sh", "least"), "sh").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = labels.join(least, "component").select("sh", "component", "component_id")
+    classes = cut(texts.join(linked, "sh", "left").select("sh", F.coalesce("component", "sh").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    return own.select("doc_id", "th", "sh").join(classes, "sh").select(F.col("doc_id").alias(id_col), "th", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
-    """One document of each component: the one with the least id.
+    """One document of each component: the one with the least id, of its texts the one of the least hash.
 
     Components are those of :func:`near_duplicates`, or with a ``similarity`` those of
     :func:`similar_documents`.  Of rows that repeat an id and a text one stays.  Rows with a null id stay
     only where no row of their component has an id.
     """
-    if similarity is None:
-        near = cut(near_duplicates(docs, id_col, text_col, **how))
-    else:
-        near = cut(similar_documents(docs, id_col, text_col, similarity=similarity, **how))
-    name, digest = unused(docs, "_kept", "_hash")
-    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    again = "th" if similarity is not None else "fp"
-    if not near.groupBy(id_col, again).count().filter("count > 1").isEmpty():
+    found = near_duplicates if similarity is None else lambda *a, **k: similar_documents(*a, similarity=similarity, **k)
+    near = cut(found(docs, id_col, text_col, **how).select(F.col(id_col).alias("id"), "th", "component_id", "root"))
+    own = near.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    beside = own.join(own.groupBy("root").agg(F.min("th").alias("first")), "root").filter("th <> first")
+    gone = near.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "th").unionByName(beside.select("id", "th")).distinct()
+    id_name, digest = unused(docs, "_id", "_hash")
+    gone = cut(gone.toDF(id_name, digest))
+    on = (F.xxhash64(F.col(text_col)) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(id_name))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone, on, "left_anti")
+    if not own.groupBy("id", "th").count().filter("count > 1").isEmpty():
         out = out.withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)
     return out

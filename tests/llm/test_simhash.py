@@ -127,30 +127,6 @@ def test_checked_similarity_against_brute_force(spark, most_changes, found):
     assert sum(got[i] == want[i] for i in copies) >= found * len(copies)
 
 
-def test_hubs_are_the_neighbours_of_most_links():
-    rng = np.random.default_rng(5)
-    base = int(rng.integers(-(2**63), 2**63 - 1))
-    values = {base}
-    while len(values) < 200:
-        x = base
-        for bit in rng.integers(0, 64, rng.integers(1, 6)):
-            x ^= -(1 << 63) if bit == 63 else 1 << int(bit)
-        values.add(x)
-    v = np.array(sorted(values), np.int64)
-    near = (np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= 5) & (v[:, None] != v[None, :])
-    degree = near.sum(axis=1)
-    x, y = np.nonzero(near)
-    for edges in (simhash._hubs(v[x], v[y]), simhash._near_hubs(v, v, 5)):
-        best = {}
-        for a, b in edges.tolist():
-            best.setdefault(a, []).append(b)
-        at = {int(k): i for i, k in enumerate(v)}
-        for i, a in enumerate(v.tolist()):
-            if degree[i]:
-                top = degree[near[i]].max()
-                assert any(degree[at[b]] == top and near[i, at[b]] for b in best[a])
-
-
 def test_checked_similarity_on_odd_tables(odd_docs, no_docs):
     got = simhash.similar_documents(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -181,8 +157,9 @@ def test_all_copies_meet_their_base(spark):
 
 
 def test_large_groups_are_closed_over_chains(spark, monkeypatch):
-    """Families without a base, of copies of copies, also where groups meet by hubs in rounds to the end."""
-    monkeypatch.setattr(simhash, "FEW_PAIRS", 0)
+    """Families without a base, of copies of copies, also where families meet in many blocks."""
+    monkeypatch.setattr(simhash, "GLUED", 8)
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", 16)
     rng = random.Random(32)
     texts = []
     for _ in range(2):
@@ -200,3 +177,38 @@ def test_pairs_of_short_texts_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.col("doc_id").isin([i for p in pairs for i in p]))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
     assert all(got[a] == got[b] for a, b in pairs)
+
+
+def test_texts_of_one_fingerprint_meet_each_other(spark):
+    """Pairs of near copies whose words also stand in other texts in another order."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+        swapped = list(words)
+        swapped[50], swapped[51] = swapped[51], swapped[50]
+        texts += [" ".join(rng.sample(words, 200)), " ".join(words), " ".join(rng.sample(words, 200)), " ".join(swapped)]
+    _equals_brute_force(spark, texts)
+
+
+def test_edges_of_alike_sets_join_what_brute_force_joins():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+    sets = []
+    for k in range(80):
+        drop = rng.random(len(base)) < 0.002 * k
+        sets.append(np.unique(np.r_[base[~drop], rng.integers(0, 2**63, int(drop.sum()) // 2).astype(np.uint64)]))
+    sets.append(np.zeros(0, np.uint64))
+    label = np.arange(len(sets))
+    found = simhash._join_alike(sets, label, *(np.arange(len(sets)),) * 2, 0.8)
+    want = similar_components({i: set(s.tolist()) or {f"none{i}"} for i, s in enumerate(sets)})
+    assert len(found) == len(sets) - len(set(want.values()))
+    assert len(set(zip(label.tolist(), want.values(), strict=True))) == len(set(want.values())) == len(set(label.tolist()))
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "TUV"}
+    rows = [(3, texts["T"]), (5, texts["U"]), (5, texts["T"]), (3, texts["V"]), (3, texts["V"])]
+    for similarity in (None, 0.8):
+        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+        assert sorted(map(tuple, kept.collect())) == sorted(set(rows) - {(5, texts["T"])})
