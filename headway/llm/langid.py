@@ -2,11 +2,14 @@
 
 Each word adds its byte n-grams and itself, hashed to buckets; a text is the mean of its buckets'
 embeddings, and a linear softmax over it gives the language.  Embeddings and softmax are trained
-together by stochastic gradient descent in numpy on a bounded sample of labelled rows; a
-temperature and a rejection threshold are then fitted on rows of the sample that were kept back.
+together by stochastic gradient descent in numpy on a bounded sample of labelled rows, beside a class
+of its own for made-up texts of no language (shuffled letters, random words, random scripts, digits and
+letters).  Temperature and rejection threshold are then fitted on rows that were kept back and on made-up
+texts in scripts that were not trained on; the threshold lies between the two kinds' scores.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.  Without any labelled
-row every text is ``und``.  Repeated rows repeat; an empty table gives an empty result.
+row every text is ``und``.  Texts of any length are judged whole, in memory bounded by the text.  Of equally
+likely languages the first by name is taken.  Repeated rows repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +35,14 @@ BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 6
 RATE = 0.5
-#: Share of rows kept back from training that rejection may cost, at most.
+#: Share of rows kept back from training that rejection may cost, at most; share of made-up texts that it should reject.
 REJECTED = 0.0005
-#: Where the rejection threshold lies between an even share of all languages (0) and the least score of kept-back rows (1).
-MARGIN = 0.5
+CAUGHT = 0.99
+#: Made-up texts for each labelled one, and words of one at most.
+MADE_UP = 0.3
+MADE_UP_WORDS = 200
+#: First code point and number of letters of scripts that made-up texts are written in; the first half in training, all in calibration.
+SCRIPTS = ((0x430, 32), (0x5D0, 27), (0x905, 50), (0xAC00, 2000), (0x4E00, 3000), (0x3B1, 25), (0x621, 40), (0xE01, 46), (0x3041, 80), (0x10D0, 33))
 _KNOWN = 200_000
 #: Words of more bytes, as unspaced scripts have, are not held in memory; bytes of them whose buckets are made at once.
 LONG = 64
@@ -81,7 +88,7 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     langs: list[str]
-    #: Each bucket's embedding times the softmax weights: as the mean is linear, nothing else is needed.
+    #: A column for each language, and one more for no language.  Each bucket's embedding times the softmax weights: as the mean is linear, nothing else is needed.
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
@@ -93,7 +100,7 @@ class Model:
 
     def _sums(self, words: list[bytes]) -> np.ndarray:
         """For each word the sums of its buckets' logits, and how many there are."""
-        known, k = self.known, len(self.langs)
+        known, k = self.known, len(self.bias)
         keys = words if max(map(len, words), default=0) <= LONG else list(map(_key, words))
         whole = dict(zip(keys, words, strict=True))
         missing = [w for w in whole if w not in known]
@@ -124,8 +131,8 @@ class Model:
         return self.table[np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))]
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the probability of each language, and whether it has words at all."""
-        k = len(self.langs)
+        """Of each text: the probability of each language (the rest is that of none), and whether it has words at all."""
+        k = len(self.bias)
         sums = np.zeros((len(texts), k + 1))
         split = [words_of(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -136,17 +143,39 @@ class Model:
         some = sums[:, k] > 0
         z = (sums[:, :k] / np.maximum(sums[:, k:], 1) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True), some
+        return (z / z.sum(axis=1, keepdims=True))[:, : len(self.langs)], some
+
+
+def made_up(text: str, rng: np.random.Generator, scripts: tuple) -> str:
+    """A text of no language, about as long as ``text``: one of four kinds."""
+    words = [w.decode("utf-8", "ignore") for w in words_of(text)[:MADE_UP_WORDS]]
+    words = [w[:LONG] for w in words if w] or ["none"]
+    words += words * (2 // len(words))  # of one or two words, too little can be told
+    sizes = [len(w) for w in words]
+    kind = rng.choice(4, p=(0.3, 0.3, 0.3, 0.1))
+    if kind == 0:  # the letters of all words, dealt anew
+        letters = rng.permutation(list("".join(words)))
+    elif kind == 1:
+        letters = [chr(0x61 + i) for i in rng.integers(0, 26, sum(sizes))]
+    elif kind == 2:
+        first, n = scripts[rng.integers(0, len(scripts))]
+        letters = [chr(first + i) for i in rng.integers(0, n, sum(sizes))]
+    else:  # as in digests and keys; digits end words
+        letters = ["0123456789abcdef"[i] for i in rng.integers(0, 16, 4 * sum(sizes))]
+        sizes = [4 * n for n in sizes]
+    ends = np.cumsum(sizes)
+    return " ".join("".join(letters[e - n : e]) for n, e in zip(sizes, ends, strict=True))
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
-    """Train on nine tenths of the rows; calibrate on the others."""
+    """Train on nine tenths of the rows and on made-up texts; calibrate on the others and on further made-up ones."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     label = {x: i for i, x in enumerate(names)}
-    rows: list[tuple] = []
     cached: dict[bytes, array] = {}
-    for text, lang in zip(texts, langs, strict=True):
+
+    def described(text: str, y: int) -> Iterator[tuple]:
+        """The text's buckets, their shares, and its label; nothing of a text without words."""
         flat = array("H")
         for w in words_of(text):
             if len(w) > LONG:
@@ -157,18 +186,24 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
             flat.extend(cached[w])
         if flat:
             ids, counts = np.unique(np.frombuffer(flat, np.uint16).astype(np.int32), return_counts=True)
-            rows.append((ids, (counts / counts.sum()).astype(np.float32), label[lang]))
+            yield ids, (counts / counts.sum()).astype(np.float32), y
+
+    k = len(names) + 1
+    rows = [r for text, lang in zip(texts, langs, strict=True) for r in described(text, label[lang])]
+    order = rng.permutation(len(rows))
+    kept = max(1, len(rows) // 10) if len(rows) >= 20 else 0
+    held = [rows[i] for i in order[:kept]]
+    rows = [rows[i] for i in order[kept:]]
+    models = rng.integers(0, len(texts), int(MADE_UP * len(texts))) if kept else ()
+    rows += [r for i in models for r in described(made_up(texts[i], rng, SCRIPTS[: len(SCRIPTS) // 2]), k - 1)]
+    held += [r for i in models[: max(20, kept)] for r in described(made_up(texts[i], rng, SCRIPTS), k - 1)]
     cached.clear()
-    k = len(names)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
-    order = rng.permutation(len(rows))
-    kept = max(1, len(rows) // 10) if len(rows) >= 20 else 0
-    held, used = order[:kept], order[kept:]
-    steps, done = EPOCHS * max(1, len(used)), 0
+    steps, done = EPOCHS * max(1, len(rows)), 0
     for _ in range(EPOCHS):
-        for r in rng.permutation(used):
+        for r in rng.permutation(len(rows)):
             ids, share, y = rows[r]
             rate = RATE * (1 - done / steps)
             done += 1
@@ -184,17 +219,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
             embed[ids] -= (rate / share.max()) * 0.2 * np.outer(share, back)
     model = Model(names, (embed @ weight).astype(np.float32), bias)
     if kept:
-        z = np.stack([rows[r][1] @ model.logits[rows[r][0]] + bias for r in held])
-        y = np.array([rows[r][2] for r in held])
+        z = np.stack([share @ model.logits[ids] + bias for ids, share, _ in held])
+        y = np.array([r[2] for r in held])
+        # As if one row more of each other class were seen: no temperature is then too small to be the best.
+        target = np.full((len(y), k), 1 / (len(y) + k))
+        target[np.arange(len(y)), y] += len(y) / (len(y) + k)
 
         def softmax(t: float) -> np.ndarray:
             e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
             return e / e.sum(axis=1, keepdims=True)
 
-        grid = np.geomspace(0.2, 5, 33)
-        model.temperature = float(min(grid, key=lambda t: -np.log(softmax(t)[np.arange(len(y)), y] + 1e-9).mean()))
-        best = np.sort(softmax(model.temperature).max(axis=1))
-        model.threshold = float(1 / k + MARGIN * (best[int(REJECTED * len(best))] - 1 / k))
+        grid = np.geomspace(0.01, 100, 161)
+        model.temperature = float(min(grid, key=lambda t: -(target * np.log(softmax(t) + 1e-30)).sum(axis=1).mean()))
+        best = softmax(model.temperature)[:, : k - 1].max(axis=1)
+        good, bad = np.sort(best[y < k - 1]), np.sort(best[y == k - 1])
+        least = good[int(REJECTED * len(good))]
+        most = bad[int(CAUGHT * (len(bad) - 1))] if len(bad) else 0.0
+        model.threshold = float((least + min(least, most)) / 2)
     return model
 
 
@@ -211,7 +252,9 @@ def train(docs: DataFrame, used: Column, rows: int = TRAIN_ROWS, chars: int = TR
     picked = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < below)
     over = F.greatest(F.length(text_col) - chars, F.lit(0))
     piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(id_col), over + 1).cast("int") + 1, F.lit(chars))
-    sample = picked.filter(F.col(text_col).isNotNull()).select(F.col(id_col), piece, F.col(lang_col), over > 0).limit(2 * rows).collect()
+    sample = picked.filter(F.col(text_col).isNotNull()).select(F.col(id_col), piece.alias("piece"), F.col(lang_col).alias("lang"), (over > 0).alias("cut"))
+    # Where ids repeat, more may be picked.
+    sample = sample.orderBy(F.xxhash64(id_col), "lang", "cut", F.xxhash64("piece")).limit(2 * rows).collect()
     sample = [r for r in sample if has_letter(r[1])]
     whole = {r[2] for r in sample if not r[3]}
     sample = sorted((r for r in sample if not r[3] or r[2] not in whole), key=lambda r: (str(r[0]), r[1], r[2]))
