@@ -29,7 +29,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.payload_digests(media.scan_media(media.store_texts(documents(spark, sf_dir))))
+    return media.text_media(documents(spark, sf_dir))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
