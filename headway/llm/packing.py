@@ -1,16 +1,18 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm.
 
 A solution is a list of bins.  Crossover injects whole well-filled bins of one parent into the
-other, removes the bins that hold duplicates of their items, and puts the displaced items back by
-best fit, longest first.  Pieces are dealt by hash to blocks of bounded size; several islands evolve
-each block from different seeds, and each island's elite migrates to the next one between epochs.
-The bins that are well filled at the end stay; the items of the others are dealt again, to fewer
-blocks, until one block is left or a round no longer frees enough.
+other and removes the bins that hold duplicates of their items; displaced items first replace one or two
+smaller ones of a bin where that fills it better, and the rest go back by best fit, longest first.
+Pieces are dealt by hash to blocks of bounded size; several islands evolve each block from different
+seeds, and each island's elite migrates to the next one between epochs.  A block whose best solution has
+as few bins as a lower bound is done at once.  The bins that are well filled at the end stay; the items
+of the others are dealt again, to fewer blocks, until one block is left or the rounds end.
 
 Only a document of more than ``capacity`` tokens is cut: into pieces of ``capacity``, the last of
 which may be shorter.  A null text counts as empty; every document ends in one end token, so an
-empty text is a piece of length 1.  Repeated rows are packed one by one; an empty table gives an
-empty result; columns other than the id and the text are not read.
+empty text is a piece of length 1.  Very long texts make many pieces; a task holds one text's ids.
+Of pieces of equal length any may come first.  Repeated rows are packed one by one; an empty table gives
+an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ CAPACITY = 4096
 #: Items of a block, on average: what one task holds and evolves.
 BLOCK_ITEMS = 2000
 ISLANDS = 2
-EPOCHS = 2
-POPULATION = 6
-OFFSPRING = 16
+EPOCHS = 3
+POPULATION = 8
+OFFSPRING = 40
 #: A bin with at most this share of its capacity free counts as well filled.
 WELL_FILLED = 0.004
 ROUNDS = 3
@@ -126,6 +128,50 @@ def best_fit(order, weights, capacity: int, bins: list | None = None) -> list:
     return bins
 
 
+def least_bins(weights, capacity: int) -> int:
+    """A lower bound of the number of bins; ``weights`` in descending order.
+
+    For each size t up to half the capacity: what is over half takes a bin each, and of the others that are
+    no less than t only as much fits beside them as their room allows.
+    """
+    w = np.asarray(weights, np.int64)
+    if not len(w):
+        return 0
+    sums = np.r_[0, np.cumsum(w)]
+    over_half = int(np.searchsorted(-w, -capacity // 2, "left")) if capacity % 2 else int((2 * w > capacity).sum())
+    best = -(-int(sums[-1]) // capacity)
+    for t in np.unique(w[2 * w <= capacity]).tolist():
+        alone = int(np.searchsorted(-w, -(capacity - t), "left"))
+        last = int(np.searchsorted(-w, -t, "right"))
+        alone = min(alone, over_half)
+        room = (over_half - alone) * capacity - int(sums[over_half] - sums[alone])
+        best = max(best, over_half + max(0, -(-(int(sums[last] - sums[over_half]) - room) // capacity)))
+    return max(best, over_half)
+
+
+def replace(kept: list, displaced: list[int], weights, capacity: int, rng: random.Random) -> list[int]:
+    """Fills bins of ``kept`` better, by a displaced item for one or two smaller ones; what is displaced now."""
+    pool = sorted((weights[i], i) for i in displaced)
+    for k in rng.sample(range(len(kept)), len(kept)):
+        items, fill = kept[k]
+        if fill == capacity or not pool:
+            continue
+        best = None
+        for a in range(len(items)):
+            for b in range(a, len(items)):
+                out = weights[items[a]] + (weights[items[b]] if b > a else 0)
+                at = bisect_left(pool, (out + capacity - fill + 1, -1)) - 1
+                if at >= 0 and pool[at][0] > out and (best is None or pool[at][0] - out > best[0]):
+                    best = pool[at][0] - out, pool[at], a, b
+        if best:
+            gain, new, a, b = best
+            pool.remove(new)
+            for i in {items[a], items[b]}:
+                insort(pool, (weights[i], i))
+            kept[k] = ([i for j, i in enumerate(items) if j not in (a, b)] + [new[1]], fill + gain)
+    return [i for _, i in pool]
+
+
 def fitness(bins: list, capacity: int) -> tuple[int, float]:
     """Fewer bins first; then fuller ones, which leave their room together."""
     return -len(bins), sum(fill * fill for _, fill in bins) / (capacity * capacity)
@@ -137,12 +183,13 @@ def crossover(a: list, b: list, weights, capacity: int, rng: random.Random) -> l
     rng.shuffle(well)
     injected = well[: max(1, len(well) * rng.randint(30, 90) // 100)] if well else []
     taken = {i for items, _ in injected for i in items}
-    kept, displaced = injected, []
+    kept, displaced = [*injected], []
     for x in b:
         if taken.isdisjoint(x[0]) and (x[1] >= tight or rng.random() < 0.7):
             kept.append(x)
         else:  # a duplicate, or one of the poor bins that mutation dissolves
             displaced += [i for i in x[0] if i not in taken]
+    displaced = replace(kept, displaced, weights, capacity, rng)
     if rng.random() < 0.5:
         displaced.sort(key=lambda i: -weights[i])
     else:
@@ -154,7 +201,7 @@ def evolve(weights: list[int], capacity: int, seed: int, offspring: int = OFFSPR
     """The best solution found for the items of one block; ``weights`` in descending order."""
     rng = random.Random(seed)
     people = [best_fit(range(len(weights)), weights, capacity)]
-    least = -(-sum(weights) // capacity)
+    least = least_bins(weights, capacity)
     if len(people[0]) <= least:
         return people[0]  # no solution has fewer
     if immigrant is not None:
