@@ -25,7 +25,7 @@ WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 COVERAGE = 20
 #: Words of items in one automaton at most; more items are spread over several, used one after another.
-AUTOMATON_WORDS = 400_000
+AUTOMATON_WORDS = 100_000
 
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if b in _SEPARATORS else b for b in range(256))
@@ -150,18 +150,18 @@ class SuffixAutomaton:
         return [(a, b) for a, b in found], items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", most_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """Automata of the items, each of at most ``most_words`` words (or of one longer item)."""
-    parts: list[list] = [[]]
+def item_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_words: int = AUTOMATON_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items with their words, in parts of at most ``most_words`` words (or of one longer item); one is held at a time."""
+    part: list = []
     held = 0
     for row in benchmark.select(F.col(id_col), F.col(text_col)).toLocalIterator():
         words = words_of(row[1])
         if held and held + len(words) > most_words:
-            parts.append([])
-            held = 0
-        parts[-1].append((row[0], words))
+            yield part
+            part, held = [], 0
+        part.append((row[0], words))
         held += len(words)
-    return [SuffixAutomaton(p, window) for p in parts]
+    yield part
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,11 +183,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) ->
     names = df.columns
     at = {"text": names.index(text_col), "_n_words": names.index(n_col), "_spans": names.index(spans_col), "_items": names.index(items_col)}
     schema = df.schema
-    for own in automata(benchmark, window):
-        sent = spark.sparkContext.broadcast(own)
+    for part in item_parts(benchmark):
+        sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = sent.value
+            automaton = SuffixAutomaton(sent.value, window)
             for batch in batches:
                 n, spans, items = [], [], []
                 for text, old, held in zip(batch.column(at["text"]), batch.column(at["_spans"]).to_pylist(), batch.column(at["_items"]).to_pylist(), strict=True):

@@ -4,11 +4,13 @@ Each text becomes a row of transformed statistics (logarithms of sizes, log-odds
 and covariances of both classes come from sums over all labelled training rows, made on the
 executors; covariances are shrunk towards their pooled matrix and its mean variance.  A score is the
 logistic of a calibrated difference of log-densities, from Mahalanobis distances by Cholesky factors
-that are inverted once.  Calibration uses the training rows' differences, as counts in fixed bins.
+that are inverted once.  Calibration uses the differences of training rows that the densities were not
+fitted on (a tenth of them, by a hash of the id), as counts in fixed bins.
 
 Null and empty texts are the row of statistics of the empty text.  Without labelled rows of both
-classes every score is the share of label 1 (0.5 without any).  A document with several labels
-counts once for each; repeated documents repeat; other columns are not read.
+classes every score is the share of label 1 (0.5 without any).  Very long texts are read whole.
+A document with several labels counts once for each; repeated documents repeat; a score that is the
+threshold predicts 1; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ FEATURES = (
 #: Weights of the pooled covariance and of its mean variance in a class covariance.
 SHRINK_POOLED = 0.10
 SHRINK_ROUND = 0.02
+#: One labelled row in so many calibrates.
+KEPT = 10
 _BINS = 400
 _SPAN = 60.0
 
@@ -145,9 +149,10 @@ def _sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 
 
 def fit(rows: DataFrame, pooled: float = SHRINK_POOLED, rounded: float = SHRINK_ROUND) -> Discriminant | float:
-    """A discriminant of ``rows`` (x, label 0 or 1); a constant score where a class has no two rows."""
+    """A discriminant of ``rows`` (x, label 0 or 1, and kept: whether for calibration only); a constant score
+    where a class has no two rows."""
     rows = cut(rows)
-    sums = _sums(rows)
+    sums = _sums(rows.filter("NOT kept"))
     n = np.array([sums[k][0] if k in sums else 0.0 for k in (0, 1)])
     if n.min() < 2:
         return float(n[1] / n.sum()) if n.sum() else 0.5
@@ -163,7 +168,9 @@ def fit(rows: DataFrame, pooled: float = SHRINK_POOLED, rounded: float = SHRINK_
         inverse.append(np.linalg.inv(factor))
         constant.append(np.log(n[k] / n.sum()) - np.log(np.diag(factor)).sum())
     model = Discriminant(means, np.stack(inverse), np.array(constant))
-    model.slope, model.shift = _calibrate(rows, model)
+    kept = rows.filter("kept")
+    both = kept.agg(F.countDistinct("label")).first()[0] == 2
+    model.slope, model.shift = _calibrate(kept if both else rows, model)
     return model
 
 
@@ -186,19 +193,36 @@ def _calibrate(rows: DataFrame, model: Discriminant) -> tuple[float, float]:
     for row in got.collect():  # two labels times the bins
         counts[row["label"], row["at"]] = row["n"]
     z = (np.arange(_BINS) + 0.5) * 2 * _SPAN / _BINS - _SPAN
-    w = np.array([0.3, 0.0])
-    both = np.column_stack([z, np.ones(_BINS)])
-    all_of = counts.sum(axis=0)
-    target = (counts[1] + 1e-3) / (all_of + 2e-3)
-    for _ in range(50):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(both @ w, -30, 30)))
-        g = both.T @ (all_of * (p - target)) + 1e-3 * w
-        h = (both * (all_of * p * (1 - p))[:, None]).T @ both + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w = w - np.clip(step, -0.5, 0.5)
-        if np.abs(step).max() < 1e-6:
+    return logistic(z, counts)
+
+
+def logistic(z: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Slope (over 0) and shift of the logistic that gives ``counts`` (of label 0 and 1 at each ``z``) the most likelihood.
+
+    Labels are taken as if one more row of the other were seen, so that the slope is bounded where z parts the
+    labels wholly.  Newton steps on z in units of its range, halved as long as they do not help.
+    """
+    unit = max(1.0, float(np.abs(z).max()))
+    x = np.column_stack([z / unit, np.ones(len(z))])
+    n, m = counts[0].sum(), counts[1].sum()
+    every = counts.sum(axis=0)
+    target = (counts[0] / (n + 2) + counts[1] * (m + 1) / (m + 2)) / np.maximum(every, 1)
+
+    def loss(w: np.ndarray) -> float:
+        return float((every * (np.logaddexp(0, x @ w) - target * (x @ w))).sum() + 0.5e-6 * (w @ w))
+
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 0.5 * (1 + np.tanh(x @ w / 2))
+        g = x.T @ (every * (p - target)) + 1e-6 * w
+        step = np.linalg.solve((x * (every * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), g)
+        share = 1.0
+        while share > 1e-9 and loss(w - share * step) > loss(w):
+            share /= 2
+        w = w - share * step
+        if np.abs(share * step).max() < 1e-9:
             break
-    return max(float(w[0]), 1e-3), float(w[1])
+    return max(float(w[0]) / unit, 1e-3), float(w[1])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, trains: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -207,7 +231,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, trains: Column, threshold
     spark = prepare(docs.sparkSession)
     stats = cut(document_statistics(docs, id_col, text_col))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    model = fit(stats.join(marked, "doc_id").filter(trains).select("x", "label"))
+    model = fit(stats.join(marked, "doc_id").filter(trains).select("x", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(KEPT)) == 0).alias("kept")))
     sent = spark.sparkContext.broadcast(model)
     d = len(FEATURES)
 

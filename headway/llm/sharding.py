@@ -6,10 +6,14 @@ shares of its bytes lie, until a leaf is one shard.  Cuts are found for all node
 from sums of bytes in bins, refined until a bin is fine enough; only those sums, whose number is fixed,
 reach the driver.  After each level rows keep the number of their node, and lineage is cut.
 
-Ties along a dimension go by the text's checksum and then by a hash of the id, so rows of equal texts
-stay next to each other and are parted only where a cut falls among them: a hot group is spread, and
-sizes stay near equal.  Null texts have size 16 and checksum 0.  Repeated rows are placed one by one
-(those that are the same in every respect share a place in the order).  An empty table gives an empty result.
+Ties along a dimension go by the text's checksum.  Rows of equal texts are one group: no cut parts them, so
+they are in one shard, unless the group has more bytes than the largest row and than a twentieth of a shard.
+Such a group, of which there can be a bounded number only, is dealt further by a hash of the id, and parted
+where a cut falls among its rows: sizes stay near equal also where one text is a third of all rows.
+
+Null texts have size 16 and checksum 0.  A very long text is one row and never parted.  Repeated rows are
+placed one by one (those that are the same in every respect share a place in the order).  An empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from headway.llm.common import cut, prepare
 
 SHARDS = 40
 OVERHEAD = 16
+#: A group of equal texts may be parted if it has more than this share of a shard, and more than the largest row.
+PARTED = 0.05
 #: A cut is fine enough when the bin that holds it has at most this share of a shard.
 FINE = 0.002
 _BITS = 10
@@ -142,7 +148,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
             F.coalesce(F.try_divide(F.length(text), F.octet_length(text)), F.lit(1.0)).cast("double").alias("density"),
         ).withColumns({"log_size": F.log2(F.col("size").cast("double")), "crc": F.col("text_crc32").cast("double")})
     )
-    tie = [F.shiftright("text_crc32", 32 - _TIE_BITS), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(1 << _TIE_BITS))]
+    sums = rows.agg(F.sum("size"), F.max("size")).first()
+    most = max(PARTED * (sums[0] or 0) / shards, sums[1] or 0)
+    # Heavier than a share of a shard: at most shards / PARTED groups.
+    heavy = rows.groupBy("text_crc32", "size", "density").agg(F.sum("size").alias("_held")).filter(F.col("_held") > most).select("text_crc32", "size", "density", F.lit(True).alias("_heavy"))
+    rows = cut(rows.join(F.broadcast(heavy), ["text_crc32", "size", "density"], "left"))
+    tie = [F.shiftright("text_crc32", 32 - _TIE_BITS), F.when(F.col("_heavy"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(1 << _TIE_BITS))).otherwise(0)]
     placed = kd_shards(rows, ["log_size", "density", "crc"], "size", tie, shards).select("doc_id", "size", "text_crc32", "shard")
     numbered = slots(placed, ["text_crc32", "size", "doc_id"], F.xxhash64("text_crc32", "doc_id"))
     return numbered.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -34,8 +34,8 @@ def test_several_automata_give_the_same(spark, most, monkeypatch):
     words = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 14, 20])))) for i in range(12)] + [(98, None), (99, "")]
     docs = [(i, " ".join([rng.choice(words) for _ in range(10)] + items[i % 12][1].split()[:16] + [rng.choice(words) for _ in range(5)])) for i in range(60)] + [(-1, None)]
-    real = decontam.automata
-    monkeypatch.setattr(decontam, "automata", lambda b, w: real(b, w, most_words=most))
+    real = decontam.item_parts
+    monkeypatch.setattr(decontam, "item_parts", lambda b: real(b, most_words=most))
     got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     for r in got:
         doc = decontam.words_of(dict(docs)[r["doc_id"]])

@@ -41,3 +41,21 @@ def test_odd_tables(odd_docs, no_docs):
 def test_no_python_in_the_plan(odd_docs):
     plan = license_scan.scan_licenses(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_templates(spark):
+    """Of over 64 words, whole, changed in places, and half of it; also of base phrases."""
+    words = license_scan.TEMPLATES["mit"][2].split(" ")
+    assert len(words) > 128
+    changed = " ".join(w for i, w in enumerate(words) if i % 40 != 20)
+    phrase = " ".join(words[:100])
+    docs = [(0, " ".join(words)), (1, f"x {changed} y"), (2, " ".join(words[90:])), (3, " ".join(words[:99]))]
+    templates = {"long": (" ".join(words),)}
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), {phrase: "base"}, templates).collect()}
+    assert [got[i]["labels"] for i in range(4)] == ["base,long", "long", "", ""]
+    assert [got[i]["n_base"] for i in range(4)] == [1, 0, 0, 0] and got[0]["score"] == 1.0
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    got = license_scan.scan_licenses(spark.createDataFrame([(0, "\u212airk by CC BY")], "doc_id long, text string"), {"kirk by": "k", "cc by": "cc"}).first()
+    assert got["base_labels"] == "cc"
