@@ -47,6 +47,11 @@ def service_origin(service_date: Column, zone: str = ZONE) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), noon).cast("timestamp") - F.expr("INTERVAL 12 HOURS")
 
 
+def service_seconds(instant: Column, service_date: Column, zone: str = ZONE) -> Column:
+    """An instant as seconds of its service date, as timetables count them."""
+    return (F.unix_micros(instant.cast("timestamp")) - F.unix_micros(service_origin(service_date, zone))) / 1_000_000
+
+
 def cutoff(service_date: Column, zone: str = ZONE) -> Column:
     """The instant at which a service day ends: 03:00 local time of the next day."""
     end = F.date_add(F.to_date(service_date), 1).cast("timestamp_ntz") + F.expr(f"INTERVAL {TURNOVER_HOURS} HOURS")
@@ -77,5 +82,10 @@ def spoken_date(instant: Column, zone: str = ZONE) -> Column:
     return F.date_format(local(instant, zone), "EEEE d MMMM yyyy")
 
 
+def spoken_moment(instant: Column, zone: str = ZONE) -> Column:
+    """Such as 08:30 on Sunday 4 October 2026."""
+    return F.concat(spoken_time(instant, zone), F.lit(" on "), spoken_date(instant, zone))
+
+
 def spoken_time(instant: Column, zone: str = ZONE) -> Column:
     return F.date_format(local(instant, zone), "HH:mm")

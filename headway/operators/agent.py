@@ -24,6 +24,21 @@ class LanguageModel(Protocol):
         """Either {"tool": name, "input": {...}} or {"answer": text}."""
 
 
+#: What each tool tells, for the model that may call it.
+DESCRIPTIONS = {
+    "line_status": "Services seen on a line in the last half hour, how many of them are late, the largest delay, and the alerts now in the feed.",
+    "disruption_risk": "The detector's probability that the line is disrupted in the next half hour, from its last whole window; an estimate, not an observation.",
+    "predict_delays": "The line's running services with their next call and the delay expected there; an estimate.",
+    "similar_past_incidents": "Past incidents most like what the line shows now, with the alert ids to cite; only those first seen before now.",
+}
+
+
+def tool_schemas(lines: list[str]) -> list[dict]:
+    """The tools as a model is offered them: each takes one line, of those there are, and nothing else."""
+    given = {"type": "object", "properties": {"line": {"type": "string", "enum": list(lines)}}, "required": ["line"], "additionalProperties": False}
+    return [{"name": name, "description": text, "strict": True, "input_schema": given} for name, text in DESCRIPTIONS.items()]
+
+
 @dataclass
 class ToolBox:
     """What was known strictly before ``at``; frames are filtered by it on every call."""
@@ -75,7 +90,7 @@ class ToolBox:
         found = retrieval.top_k(self.index, self.embedder([text])[0], k, where=retrieval.guards(seen_before=seconds))
         return {"line": line, "incidents": self._rows(found.select("id", "text", "score", "rank"))}
 
-    TOOLS = ("line_status", "disruption_risk", "predict_delays", "similar_past_incidents")
+    TOOLS = tuple(DESCRIPTIONS)
 
     def call(self, name: str, given: dict) -> tuple[str, bool]:
         """The tool's result as JSON, and whether it is an error."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import cause_group, classify
@@ -23,55 +23,67 @@ def with_lines(alerts: DataFrame, scopes: DataFrame, lines: list[str] | None = N
 
 def audited(alerts: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Alerts with is_incident and reason."""
-    said = None
+    said = why = None
     if overrides is not None:
-        alerts = alerts.join(overrides.select("alert_id", F.col("is_incident").alias("_said")), "alert_id", "left")
-        said = F.col("_said")
+        reason = F.col("reason") if "reason" in overrides.columns else F.lit("")
+        alerts = alerts.join(overrides.select("alert_id", F.col("is_incident").alias("_said"), reason.alias("_why")), "alert_id", "left")
+        said, why = F.col("_said"), F.col("_why")
     presence = F.unix_seconds(F.col("last_seen").cast("timestamp")) - F.unix_seconds(F.col("first_seen").cast("timestamp"))
-    verdict = classify(F.col("cause"), F.col("header_text"), F.col("description_text"), presence, said)
-    return alerts.withColumn("_v", verdict).select(*[c for c in alerts.columns if c != "_said"], "_v.is_incident", "_v.reason")
+    verdict = classify(F.col("cause"), F.col("header_text"), F.col("description_text"), presence, said, why)
+    return alerts.withColumn("_v", verdict).select(*[c for c in alerts.columns if c not in ("_said", "_why")], "_v.is_incident", "_v.reason")
 
 
-def handovers(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
-    """Edges (a, b) whose components are those of all hand-overs: two alerts of one line, one of which leaves
-    within the gap of the other's coming, with one cause or an unknown one.
+#: Time slots, in gaps, that hand-overs are looked for in side by side.
+SLOT_GAPS = 8
 
-    Ends and beginnings go by time slots as long as the gap.  Inside a slot all of them are near enough;
-    between a slot and the next, whoever is near enough to any is near enough to the first (or the last)
-    there.  So each alert is linked to those alone: a few edges an alert, however many are near it.
-    An unknown cause counts among every cause.
+
+def chains(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
+    """(alert_id, chain): chains of alerts of one line and one cause that hand over to each other.
+
+    Two alerts hand over if one leaves within the gap of the other's coming and both have one cause or an
+    unknown one, which counts among every cause.  Along time, the ends and beginnings of a line and a cause
+    fall apart only where no end and beginning on either side are near enough: between lie others of either
+    kind, which are then near enough to one of the two.  So chains are runs of neighbours.  They are found in
+    time slots side by side, each with what is near its borders, and numbered from the breaks of the slots
+    before.  An alert is in a chain for each of its lines and causes, by its end and by its beginning.
     """
     gap = gap_s * 1_000_000
+    wide = SLOT_GAPS * gap
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     causes = alerts.agg(F.collect_set("cause").alias("_all"))  # a row; causes are an enum's names
-    own = alerts.select("alert_id", "cause", micros("first_seen").alias("first"), micros("last_seen").alias("last"), F.explode("lines").alias("line"))
-    of = F.explode(F.when(F.col("cause") == UNKNOWN, F.col("_all")).otherwise(F.array("cause"))).alias("among")
-    each = own.join(F.broadcast(causes)).select("alert_id", "first", "last", "line", of)
-
-    def side(time: str, name: str) -> tuple[DataFrame, DataFrame]:
-        t = F.col(time)
-        by = each.select("line", "among", F.floor(t / gap).alias("slot"), "alert_id", t.alias("t"))
-        order = F.struct("t", "alert_id")
-        return by, by.groupBy("line", "among", "slot").agg(*[f("alert_id", order).alias(f"{name}_{k}") for k, f in (("low", F.min_by), ("high", F.max_by))], F.min("t").alias("low"), F.max("t").alias("high"))
-
-    ends, end_marks = side("last", "id")
-    begins, begin_marks = side("first", "id")
-    out = None
-    for rows, marks in ((ends, begin_marks), (begins, end_marks)):
-        near = rows.withColumn("step", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
-        near = near.withColumn("slot", F.col("slot") + F.col("step")).join(marks, ["line", "among", "slot"])
-        # The slot before is met by its last one, its own and the next by their first.
-        other = F.when(F.col("step") == -1, F.col("id_high")).otherwise(F.col("id_low"))
-        at = F.when(F.col("step") == -1, F.col("high")).otherwise(F.col("low"))
-        edges = near.filter(F.abs(at - F.col("t")) <= gap).select(F.col("alert_id").alias("a"), other.alias("b"))
-        out = edges if out is None else out.unionByName(edges)
-    return out.filter("a <> b").distinct()
+    among = F.explode(F.when(F.col("cause") == UNKNOWN, F.col("_all")).otherwise(F.array("cause"))).alias("among")
+    ends = F.explode(F.array(F.struct(micros("first_seen").alias("t"), F.lit(True).alias("begins")), F.struct(micros("last_seen").alias("t"), F.lit(False).alias("begins"))))
+    points = alerts.join(F.broadcast(causes)).select("alert_id", F.explode("lines").alias("line"), "cause", "_all", ends.alias("e"))
+    points = points.select("alert_id", "line", among, "e.*")
+    slot = lambda t: F.floor(t / wide)
+    near = F.explode(F.array_distinct(F.array(slot(F.col("t")), slot(F.col("t") - gap), slot(F.col("t") + gap)))).alias("slot")
+    placed = points.select("*", near).withColumn("own", F.col("slot") == slot(F.col("t")))
+    order = Window.partitionBy("line", "among", "slot").orderBy("t", "begins", "alert_id")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    last = lambda begins: F.max(F.when(F.col("begins") == begins, F.col("t"))).over(before)
+    following = lambda begins: F.min(F.when(F.col("begins") == begins, F.col("t"))).over(behind)
+    held = (following(True) - last(False) <= gap) | (following(False) - last(True) <= gap)
+    marked = placed.withColumn("break", F.when(F.coalesce(held, F.lit(False)), 0).otherwise(1)).filter("own")
+    breaks = marked.groupBy("line", "among", "slot").agg(F.sum("break").alias("n"))
+    earlier = Window.partitionBy("line", "among").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+    starts = breaks.select("line", "among", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = marked.withColumn("k", F.sum("break").over(inside)).join(starts, ["line", "among", "slot"])
+    name = F.concat_ws("|", "line", "among", (F.col("start") + F.col("k")).cast("string"))
+    return numbered.select("alert_id", name.alias("chain")).distinct()
 
 
 def incidents(alerts: DataFrame, cut: Callable[[DataFrame], DataFrame], gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
-    """One row an incident: its alerts, lines, span, cause and group, and an id made of its alerts' ids."""
-    found = connected_components(handovers(alerts, gap_s), cut)
-    rows = alerts.join(found, alerts["alert_id"] == found["vertex"], "left").withColumn("_c", F.coalesce("component", "alert_id"))
+    """One row an incident: its alerts, lines, span, cause and group, and an id made of its alerts' ids.
+
+    Only chains that an alert links to others, by another line, cause or time, are a matter of components.
+    """
+    each = cut(chains(alerts, gap_s))
+    first = each.groupBy("alert_id").agg(F.min("chain").alias("a"), F.max("chain").alias("z"))
+    links = each.join(first.filter("a < z"), "alert_id").select("a", F.col("chain").alias("b"))
+    found = connected_components(links, cut)
+    own = first.join(found, first["a"] == found["vertex"], "left").select("alert_id", F.coalesce("component", "a").alias("_found"))
+    rows = alerts.join(own, "alert_id", "left").withColumn("_c", F.coalesce("_found", F.concat(F.lit("alone|"), "alert_id")))
     order = F.struct((F.col("cause") == UNKNOWN).alias("u"), "first_seen", "alert_id")
     grouped = rows.groupBy("_c").agg(
         F.array_sort(F.collect_set("alert_id")).alias("alert_ids"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),

@@ -17,12 +17,13 @@ ERAS = 3
 def eras_for(dates: DataFrame, bundles: DataFrame, date: str = "service_date", name: str = "bundle", most: int = ERAS) -> DataFrame:
     """Of each date the newest timetables fetched by then (named ..._YYYYMMDD), with bundle_rank from 0.
 
-    Timetables are a few a month: a row each.
+    Timetables are a few a month: as one sorted list, each date takes what was there, newest first.
     """
-    fetched = bundles.select(name, F.regexp_extract(name, r"_([0-9]{8})", 1).alias("_day")).filter("_day <> ''")
-    known = dates.select(date).distinct().join(F.broadcast(fetched), F.col("_day") <= F.regexp_replace(date, "-", ""))
-    rank = F.row_number().over(Window.partitionBy(date).orderBy(F.desc("_day"), F.desc(name))) - 1
-    return known.withColumn("bundle_rank", rank).filter(F.col("bundle_rank") < most).drop("_day")
+    fetched = bundles.select(F.struct(F.regexp_extract(name, r"_([0-9]{8})", 1).alias("day"), F.col(name).alias("name")).alias("b")).filter("b.day <> ''").distinct()
+    listed = fetched.agg(F.sort_array(F.collect_list("b"), asc=False).alias("_all"))  # one row
+    known = dates.select(date).distinct().join(F.broadcast(listed))
+    taken = F.slice(F.filter("_all", lambda b: b["day"] <= F.regexp_replace(date, "-", "")), 1, most)
+    return known.select(date, F.posexplode(taken).alias("bundle_rank", "_b")).select(date, F.col("_b.name").alias(name), "bundle_rank")
 
 
 def short_ids(alert_ids: Column) -> Column:

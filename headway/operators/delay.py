@@ -44,7 +44,7 @@ class DelayModel:
         return out.join(F.broadcast(own), "bin", "left").join(F.broadcast(every)).withColumn("half_width", F.coalesce("_own", "_every")).drop("_own", "_every")
 
 
-def fit(table: DataFrame, grid: Sequence[dict] = models.DELAY_GRID, rounds: int = 20) -> tuple[DelayModel, DataFrame]:
+def fit(table: DataFrame, grid: Sequence[dict] = models.DELAY_GRID, rounds: int = models.ROUNDS) -> tuple[DelayModel, DataFrame]:
     """The model, and the test rows with prediction, half_width and split.
 
     The margins come from the validation rows, which the model was only chosen by.

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,10 +71,37 @@ def regression_scores(rows: DataFrame, truth: str, guess: str, naive: str | None
     return rows.groupBy(*by).agg(*parts) if by else rows.agg(*parts)
 
 
+def percentiles(rows: DataFrame, value: str | Column, shares: Sequence[float], by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """by, share and value: the interpolated percentiles of each group, exactly; a group without values has none.
+
+    Distinct values are counted, and their ranks found in bands of values as in :func:`score_curve`, so no
+    task holds or sorts all of a group's values.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    each = rows.select(*by, v.cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    whole = each.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"w.{k}")) for k in by]
+    sized = each.alias("e").join(whole.alias("w") if by else F.broadcast(whole).alias("w"), on or None).select("e.*", "_n", "_lo", "_hi")
+    band = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    banded = sized.withColumn("_band", band)
+    totals = banded.groupBy(*by, "_band").agg(F.sum("_c").alias("_bc"))
+    before = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # a row a band
+    starts = totals.select(*by, "_band", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*by, "_band")]
+    ranked = banded.withColumn("_up", F.sum("_c").over(inside)).alias("b").join(starts.alias("s"), same).select("b.*", (F.col("_up") + F.col("_start")).alias("_to"))
+    wanted = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares]))).withColumn("_at", F.col("share") * (F.col("_n") - 1))
+    holds = lambda k: (F.col("_to") - F.col("_c") <= k) & (k < F.col("_to"))
+    ends = wanted.groupBy(*by, "share").agg(
+        F.max("_at").alias("_at"), F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_a"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_b")
+    )
+    part = F.col("_at") - F.floor("_at")
+    return ends.select(*by, "share", F.when(part == 0, F.col("_a")).otherwise((1 - part) * F.col("_a") + part * F.col("_b")).alias("value"))
+
+
 def residual_percentiles(rows: DataFrame, truth: str, guess: str, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """One row a share: the interpolated percentile of guess - truth."""
-    found = rows.agg(F.percentile(F.col(guess) - F.col(truth), F.array(*[F.lit(s) for s in shares])).alias("v"))
-    return found.select(F.posexplode("v").alias("i", "residual")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("i") + 1).alias("share"), "residual")
+    return percentiles(rows, F.col(guess) - F.col(truth), shares).withColumnRenamed("value", "residual")
 
 
 def conformal_widths(scores: DataFrame, bin_col: str, value: str, alpha: float = 0.1) -> DataFrame:
@@ -87,7 +113,7 @@ def conformal_widths(scores: DataFrame, bin_col: str, value: str, alpha: float =
     both = each.withColumn("all", F.lit(False)).unionByName(each.groupBy("v").agg(F.sum("c").alias("c")).select(F.lit(None).cast(each.schema["bin"].dataType).alias("bin"), "v", "c", F.lit(True).alias("all")))
     sized = both.groupBy("all", "bin").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rank = F.ceil((F.col("n") + 1).cast("double") * F.lit(1 - alpha)).cast("long")
-    rows = both.alias("x").join(F.broadcast(sized.withColumn("rank", rank)).alias("s"), (F.col("x.all") == F.col("s.all")) & F.col("x.bin").eqNullSafe(F.col("s.bin")))
+    rows = both.alias("x").join(sized.withColumn("rank", rank).alias("s"), (F.col("x.all") == F.col("s.all")) & F.col("x.bin").eqNullSafe(F.col("s.bin")))
     band = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 255)
     banded = rows.select("x.all", "x.bin", "v", "c", "n", "rank", band.alias("band"))
     totals = banded.groupBy("all", "bin", "band").agg(F.sum("c").alias("bc"))
@@ -106,20 +132,27 @@ def lateness_band(prev: Column) -> Column:
 def coverage_table(rows: DataFrame, segment: str, inside: Column, width: Column) -> DataFrame:
     """n, share inside and median half-width of each segment and of all, worst first."""
     named = rows.select(F.explode(F.array(F.col(segment), F.lit("all"))).alias("segment"), inside.cast("double").alias("inside"), width.alias("width"))
-    return named.groupBy("segment").agg(F.count("*").alias("n"), F.avg("inside").alias("share_inside"), F.median("width").alias("median_width")).orderBy("share_inside", "segment")
+    middle = percentiles(named, "width", (0.5,), ["segment"]).select(F.col("segment").alias("_s"), F.col("value").alias("median_width"))
+    counted = named.groupBy("segment").agg(F.count("*").alias("n"), F.avg("inside").alias("share_inside"))
+    out = counted.join(middle, F.col("segment").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return out.select("segment", "n", "share_inside", "median_width").orderBy("share_inside", "segment")
 
 
-def date_draws(spark: SparkSession, dates: Sequence[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """(resample, date, times): how often each date is in each resample of all dates with replacement.
+def date_draws(dates: DataFrame, resamples: int = 2000, seed: int = 0, date: str = "date") -> DataFrame:
+    """(resample, date, times): how often each of the table's dates is in each resample of all dates with replacement.
 
-    As many rows as resamples times dates at most; dates are days.
+    The dates, in order, are numbered; the j-th draw of a resample is the number that the digest of
+    ``seed-resample-j`` gives.  As many rows as resamples times dates at most; dates are days.
     """
-    rng = np.random.default_rng(seed)
-    rows = []
-    for r in range(resamples):
-        picked = rng.choice(len(dates), size=len(dates), replace=True)
-        rows += [(r, dates[i], int(n)) for i, n in enumerate(np.bincount(picked, minlength=len(dates))) if n]
-    return spark.createDataFrame(rows, "resample int, date string, times int")
+    days = dates.select(F.col(date).alias("date")).distinct()
+    numbered = days.withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1)
+    n = days.count()
+    if not n:
+        return dates.sparkSession.createDataFrame([], "resample int, date string, times long")
+    name = F.concat_ws("-", F.lit(str(seed)), F.col("resample").cast("string"), F.col("j").cast("string"))
+    each = dates.sparkSession.range(resamples).select(F.col("id").cast("int").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    drawn = each.select("resample", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long") % n).cast("int").alias("_i"))
+    return drawn.groupBy("resample", "_i").agg(F.count("*").alias("times")).join(numbered, "_i").select("resample", "date", "times")
 
 
 def bootstrap_by_date(by_date: DataFrame, draws: DataFrame, sums: Sequence[str], metric: Callable[..., Column]) -> DataFrame:
@@ -127,9 +160,9 @@ def bootstrap_by_date(by_date: DataFrame, draws: DataFrame, sums: Sequence[str],
 
     ``by_date``: a row a date with additive columns, so each resample costs a row a date, not the data again.
     """
-    joined = draws.join(F.broadcast(by_date), "date")
+    joined = draws.join(by_date, "date")
     each = joined.groupBy("resample").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums]).select(metric(*[F.col(c) for c in sums]).alias("m"))
-    return each.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.col("m").isNotNull().cast("double")).alias("defined"))
+    return each.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.col("m").isNotNull().cast("double")).alias("defined"))  # a row a resample
 
 
 def lead_times(incidents: DataFrame, flags: DataFrame, before_s: int = 3600, after_s: int = 900) -> DataFrame:
@@ -145,7 +178,9 @@ def lead_times(incidents: DataFrame, flags: DataFrame, before_s: int = 3600, aft
 
 
 def lead_summary(leads: DataFrame) -> DataFrame:
-    return leads.agg(F.count("*").alias("incidents"), F.count("lead_s").alias("flagged"), F.count_if(F.col("lead_s") > 0).alias("ahead"), F.median("lead_s").alias("median_lead_s"))
+    """One row: incidents, flagged ones, those flagged ahead of their alert, and the median lead."""
+    middle = percentiles(leads, "lead_s", (0.5,)).agg(F.max("value").alias("median_lead_s"))
+    return leads.agg(F.count("*").alias("incidents"), F.count("lead_s").alias("flagged"), F.count_if(F.col("lead_s") > 0).alias("ahead")).join(F.broadcast(middle))  # a row each
 
 
 def macro_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -165,6 +200,18 @@ def kappa(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return rows.agg(n.alias("n"), agree.alias("agreement"), F.try_divide(agree - chance, 1 - chance).alias("kappa"))
 
 
+def paired(labels: DataFrame, verdicts: DataFrame, key: str = "statement_id", human: str = "human_supported", judge: str = "supported") -> DataFrame:
+    """Both ratings of each labelled statement; a label without a statement, or without a verdict, is an error."""
+    both = labels.select(key, human).join(verdicts.select(key, F.col(judge).alias("_judge")), key, "left")
+    said = F.when(F.col("_judge").isNotNull(), F.col("_judge")).otherwise(F.raise_error(F.concat(F.lit("no verdict on "), F.col(key))).cast("boolean"))
+    return both.select(key, human, said.alias(judge))
+
+
+def known(table: DataFrame, target: str = "target") -> DataFrame:
+    """Rows whose target is known."""
+    return table.filter(F.col(target).isNotNull())
+
+
 def stratified_sample(rows: DataFrame, strata: Sequence[str], key: Column, share: tuple[int, int] = (1, 5), seed: str = "0") -> DataFrame:
     """Of each stratum the ceil(share * n) (one at least) rows whose hashed keys come first.
 
@@ -195,8 +242,8 @@ def mode_so_far(rows: DataFrame, order: str, group: str, ranking: Sequence[str],
     """A row for each value of ``order``: the commonest group strictly before it, ties by ``ranking``."""
     rank = F.coalesce(*[F.when(F.col(group) == g, F.lit(i)) for i, g in enumerate(ranking)], F.lit(len(ranking)))
     counts = rows.groupBy(order, F.col(group).alias("g"), rank.alias("r")).agg(F.count("*").alias("n"))
-    steps = counts.select(order).distinct()
-    every = steps.join(F.broadcast(counts.select("g", "r").distinct()))  # steps are days, groups a handful
+    groups = counts.agg(F.collect_set(F.struct("g", "r")).alias("_all"))  # a row; groups are an enum's names
+    every = counts.select(order).distinct().join(F.broadcast(groups)).select(order, F.explode("_all").alias("x")).select(order, "x.g", "x.r")
     before = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     filled = every.join(counts.select(order, "g", "n"), [order, "g"], "left").withColumn("c", F.coalesce(F.sum("n").over(before), F.lit(0)))
     best = filled.groupBy(order).agg(F.max_by("g", F.struct("c", (-F.col("r")).alias("r"))).alias("g"), F.max("c").alias("c"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.time import ZONE, calendar, floor_to, local, service_day
-from headway.operators.temporal import asof_last, explode_windows, latest_by, with_lags
+from headway.operators.temporal import asof_last, coverage, dense_grid, explode_windows, latest_by, with_lags
 
 RELIABLE_STOPS_AHEAD = 1
 PLAUSIBLE_S = 7200
@@ -152,3 +152,16 @@ def compare_labels(labels: DataFrame, check: DataFrame, since: str, keys: Sequen
             raise ValueError(f"{name} repeats a key of {', '.join(keys)}")
     other = check.select(*keys, *[F.col(c).alias(f"{c}_check") for c in check.columns if c not in keys])
     return labels.filter(F.col("service_date") >= since).join(other, list(keys))
+
+
+def label_snapshot(events: DataFrame, polls: DataFrame, rule: LabelRule, lines: Sequence[str], spans: DataFrame | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """Labels of every window that the polls (poll_time) cover, for each line: coverage, events and rules in one call."""
+    bounds = coverage(polls, polls, "poll_time", rule.window_s)
+    grid = dense_grid(bounds, "start", "end", rule.window_s, "line", list(lines))
+    own = events.filter(F.col("line").isin(list(lines)))
+    return label_grid(grid, services_by_window(latest_by_service(reliable(own), rule.window_s, tie), rule.late_s), rule, spans)
+
+
+def window_delays(labels: DataFrame) -> DataFrame:
+    """Of each verdict (unknown ones too): windows, services, mean of the windows' mean delays, and the largest delay."""
+    return labels.groupBy("disrupted").agg(F.count("*").alias("windows"), F.sum("n_services").alias("services"), F.avg("mean_delay_s").alias("mean_delay_s"), F.max("max_delay_s").alias("max_delay_s"))

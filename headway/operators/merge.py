@@ -8,35 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _moments(batch: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+    """One row for each key and time of a batch: its values (_v), by ``tie`` where several came at once."""
+    rest = [c for c in batch.columns if c not in keys and c != ts]
+    value = F.struct(*rest) if rest else F.struct(F.lit(True).alias("_none"))
+    return batch.groupBy(*keys, F.col(ts).alias("_t")).agg(F.max_by(value, F.struct(*tie) if tie else value).alias("_v"))
+
+
+def _folded(moments: DataFrame, keys: Sequence[str], taken: Column) -> DataFrame:
+    """One row a key of :func:`_moments`: the latest values, first and last time, and how many times are ``taken``."""
+    return moments.groupBy(*keys).agg(F.max_by("_v", "_t").alias("_v"), F.min("_t").alias("first_seen_utc"), F.max("_t").alias("last_seen_utc"), F.count_if(taken).cast("long").alias("observation_count"))
+
+
 def fold_batch(batch: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """One row a key as if the batch's rows had come in time order: the latest values, first_seen_utc,
     last_seen_utc and observation_count, the number of distinct times (an equal time changes nothing)."""
     rest = [c for c in batch.columns if c not in keys and c != ts]
-    agg = batch.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(ts, *tie)).alias("_v"),
-        F.min(ts).alias("first_seen_utc"),
-        F.max(ts).alias("last_seen_utc"),
-        F.array_sort(F.collect_set(ts)).alias("_times"),
-    )
-    return agg.select(*keys, *[F.col("_v")[c].alias(c) for c in rest], "first_seen_utc", "last_seen_utc", F.size("_times").cast("long").alias("observation_count"), "_times")
+    folded = _folded(_moments(batch, keys, ts, tie), keys, F.lit(True))
+    return folded.select(*keys, *[F.col("_v")[c].alias(c) for c in rest], "first_seen_utc", "last_seen_utc", "observation_count")
+
+
+def _same(a: str, b: str, keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+
+def _with_last(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with _last, when their key was last seen by what is stored."""
+    known = stored.select(*keys, F.col("last_seen_utc").alias("_last"))
+    return rows.alias("r").join(known.alias("k"), _same("r", "k", keys), "left").select("r.*", "_last")
 
 
 def guarded_upsert(stored: DataFrame, batch: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """``stored`` after the batch.  A row counts only if it is strictly later than what is stored, so a
-    replay changes nothing and late rows are rejected; the first time seen is kept."""
-    fresh = fold_batch(batch, keys, ts, tie)
-    rest = [c for c in fresh.columns if c not in (*keys, "first_seen_utc", "last_seen_utc", "observation_count", "_times")]
-    s, f = stored.alias("s"), fresh.alias("f")
-    both = s.join(f, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "full")
+    replay changes nothing and late rows are rejected; the first time seen is kept.
+
+    A key's times are counted by aggregation, never held together.
+    """
+    rest = [c for c in batch.columns if c not in keys and c != ts]
+    moments = _with_last(_moments(batch, keys, ts, tie), stored, keys)
+    fresh = _folded(moments, keys, F.col("_last").isNull() | (F.col("_t") > F.col("_last")))
+    both = stored.alias("s").join(fresh.alias("f"), _same("s", "f", keys), "full")
     known, came = F.col("s.last_seen_utc").isNotNull(), F.col("f.last_seen_utc").isNotNull()
     wins = came & (~known | (F.col("f.last_seen_utc") > F.col("s.last_seen_utc")))
-    later = F.size(F.filter("f._times", lambda t: F.col("s.last_seen_utc").isNull() | (t > F.col("s.last_seen_utc")))).cast("long")
     return both.select(
         *[F.coalesce(F.col(f"s.{k}"), F.col(f"f.{k}")).alias(k) for k in keys],
-        *[F.when(wins, F.col(f"f.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in rest],
+        *[F.when(wins, F.col("f._v")[c]).otherwise(F.col(f"s.{c}")).alias(c) for c in rest],
         F.when(known, F.col("s.first_seen_utc")).otherwise(F.col("f.first_seen_utc")).alias("first_seen_utc"),
         F.when(wins, F.col("f.last_seen_utc")).otherwise(F.col("s.last_seen_utc")).alias("last_seen_utc"),
-        (F.coalesce(F.col("s.observation_count"), F.lit(0)) + F.when(wins, later).otherwise(0)).cast("long").alias("observation_count"),
+        (F.coalesce(F.col("s.observation_count"), F.lit(0)) + F.when(wins, F.col("f.observation_count")).otherwise(0)).cast("long").alias("observation_count"),
     )
 
 
@@ -49,28 +68,19 @@ def accumulated_list(stored: Column, new: Column) -> Column:
 def merge_status(stored: DataFrame, batch: DataFrame, keys: Sequence[str], ts: str, skips: str = "skipped_stop_ids", always: bool = False) -> DataFrame:
     """Trip statuses after the batch: guarded like observations, the skip list accumulated.
 
-    Statuses of one key and batch are merged first, in time order.  A rejected late row's new skips go
-    with it, unless ``always``.
+    New skips come in order of when they were first told; a key holds each of its stops once.  A rejected
+    late row's new skips go with it, unless ``always``.
     """
-    rest = [c for c in batch.columns if c not in (*keys, ts, skips)]
-    item = F.struct(F.col(ts).alias("t"), F.col(skips).alias("x"))
-    fresh = batch.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"), F.max_by(F.struct(*rest), F.struct(ts)).alias("_v") if rest else F.lit(None).alias("_v"))
-    s, f = stored.alias("s"), fresh.alias("f")
-    both = s.join(f, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "full")
-    last = F.col("s.last_seen_utc")
-    taken = F.filter(F.coalesce(F.col("f._all"), F.array().cast(fresh.schema["_all"].dataType)), lambda x: last.isNull() | (x["t"] > last))
-    newest = F.array_max(F.transform(taken, lambda x: x["t"]))
-    used = F.col("f._all") if always else taken
-    came = F.flatten(F.transform(F.coalesce(used, taken), lambda x: F.coalesce(x["x"], F.array().cast("array<string>"))))
-    wins = F.size(taken) > 0
-    return both.select(
-        *[F.coalesce(F.col(f"s.{k}"), F.col(f"f.{k}")).alias(k) for k in keys],
-        *[F.when(wins, F.col("f._v")[c]).otherwise(F.col(f"s.{c}")).alias(c) for c in rest],
-        accumulated_list(F.col(f"s.{skips}"), came).alias(skips),
-        F.coalesce(F.col("s.first_seen_utc"), F.array_min(F.transform(taken, lambda x: x["t"]))).alias("first_seen_utc"),
-        F.coalesce(newest, last).alias("last_seen_utc"),
-        (F.coalesce(F.col("s.observation_count"), F.lit(0)) + F.size(F.array_distinct(F.transform(taken, lambda x: x["t"])))).cast("long").alias("observation_count"),
-    )
+    merged = guarded_upsert(stored.drop(skips), batch.drop(skips), keys, ts)
+    told = _with_last(batch.select(*keys, F.col(ts).alias("_t"), F.posexplode(skips).alias("_i", "_stop")), stored, keys)
+    if not always:
+        told = told.filter(F.col("_last").isNull() | (F.col("_t") > F.col("_last")))
+    each = told.groupBy(*keys, "_stop").agg(F.min(F.struct("_t", "_i")).alias("_at"))
+    new = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_stop"))), lambda x: x["_stop"]).alias("_new"))
+    out = merged.alias("m").join(new.alias("n"), _same("m", "n", keys), "left").select("m.*", "_new")
+    out = out.alias("m").join(stored.select(*keys, F.col(skips).alias("_old")).alias("o"), _same("m", "o", keys), "left").select("m.*", "_old")
+    rest = [c for c in merged.columns if c not in (*keys, "first_seen_utc", "last_seen_utc", "observation_count")]
+    return out.select(*keys, *rest, accumulated_list(F.col("_old"), F.col("_new")).alias(skips), "first_seen_utc", "last_seen_utc", "observation_count")
 
 
 def replace_by_key(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -34,16 +34,19 @@ def feature_stages(numbers: Sequence[str], categories: Sequence[str] = (), scale
     return stages
 
 
+#: Rounds of boosting at most; they end when the validation rows gain no more.  Trees of a forest.
+ROUNDS = 1000
+TREES = 500
 #: Candidates of each kind of model; the first of equally good ones is taken.
 DELAY_GRID = ({"maxDepth": 3, "stepSize": 0.1}, {"maxDepth": 5, "stepSize": 0.1}, {"maxDepth": 3, "stepSize": 0.05}, {"maxDepth": 5, "stepSize": 0.05})
 DETECTORS: dict[str, tuple[Callable, tuple[dict, ...]]] = {
-    "boosted": (lambda **k: GBTClassifier(labelCol="label", seed=0, maxIter=20, **k), ({"maxDepth": 2}, {"maxDepth": 3}, {"maxDepth": 4})),
-    "forest": (lambda **k: RandomForestClassifier(labelCol="label", seed=0, numTrees=40, **k), ({"maxDepth": 4}, {"maxDepth": 6}, {"maxDepth": 8})),
+    "boosted": (lambda **k: GBTClassifier(labelCol="label", seed=0, maxIter=ROUNDS, validationIndicatorCol="_validation", **k), ({"maxDepth": 2}, {"maxDepth": 3}, {"maxDepth": 4})),
+    "forest": (lambda **k: RandomForestClassifier(labelCol="label", seed=0, numTrees=TREES, **k), ({"maxDepth": 4}, {"maxDepth": 6}, {"maxDepth": 8})),
     "logistic": (lambda **k: LogisticRegression(labelCol="label", maxIter=50, **k), ({"regParam": 0.001}, {"regParam": 0.01}, {"regParam": 0.1})),
 }
 
 
-def fit_delay(train: DataFrame, validation: DataFrame, numbers: Sequence[str], categories: Sequence[str], label: str = "delay_s", grid: Sequence[dict] = DELAY_GRID, rounds: int = 20) -> PipelineModel:
+def fit_delay(train: DataFrame, validation: DataFrame, numbers: Sequence[str], categories: Sequence[str], label: str = "delay_s", grid: Sequence[dict] = DELAY_GRID, rounds: int = ROUNDS) -> PipelineModel:
     """The candidate of the least mean absolute error on the validation rows."""
     both = prepared(train, numbers).withColumn("_validation", F.lit(False)).unionByName(prepared(validation, numbers).withColumn("_validation", F.lit(True)))
     both = both.withColumn(label, F.col(label).cast("double")).cache()
@@ -88,9 +91,12 @@ def fit_detector(kind: str, train: DataFrame, validation: DataFrame, numbers: Se
         raise ValueError("the validation rows have no positive one")
     make, grid = DETECTORS[kind]
     best = None
+    used = prepared(rows, numbers)
+    if kind == "boosted":  # which looks at the validation rows to know when to end, and learns from the others
+        used = used.withColumn("_validation", F.lit(False)).unionByName(prepared(held, numbers).withColumn("_validation", F.lit(True)))
     for candidate in grid:
         stages = feature_stages(numbers, categories, scale=kind == "logistic")
-        model = Pipeline(stages=[*stages, make(**candidate)]).fit(prepared(rows, numbers))
+        model = Pipeline(stages=[*stages, make(**candidate)]).fit(used)
         scored = model.transform(prepared(held, numbers)).select(vector_to_array("probability")[1].alias("score"), F.col(target).alias("target"))
         curve = score_curve(scored, "score", "target")
         ap = average_precision(curve).first()[0]

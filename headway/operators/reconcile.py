@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.time import calendar, gtfs_seconds
+from headway.operators.evalstats import percentiles
 from headway.operators.temporal import latest_by
 from headway.schemas import TRAINING_COLUMNS
 
@@ -83,19 +84,18 @@ def with_split(table: DataFrame, date: str = "service_date", shares: Sequence[fl
     train, validation = cut_points(dates.count(), shares)
     ranked = dates.withColumn("_n", F.row_number().over(Window.orderBy(date)))
     split = F.when(F.col("_n") <= train, "train").when(F.col("_n") <= validation, "validation").otherwise("test")
-    return table.join(F.broadcast(ranked.select(date, split.alias("split"))), date)
+    return table.join(ranked.select(date, split.alias("split")), date)
 
 
 def first_dates(table: DataFrame, n: int, date: str = "service_date") -> DataFrame:
-    return table.join(F.broadcast(table.select(date).distinct().orderBy(date).limit(n)), date, "left_semi")
+    return table.join(table.select(date).distinct().orderBy(date).limit(n), date, "left_semi")
 
 
 def quality_report(table: DataFrame, date: str, value: str, entity: str, thin: float = 0.25) -> DataFrame:
     """One row: counts, distinct entities, median and 90th percentile, rows of a day, thin days."""
     days = table.groupBy(date).agg(F.count("*").alias("n"))
-    by_day = days.agg(F.count("*").alias("days"), F.min("n").alias("least_a_day"), F.median("n").alias("median_a_day"), F.max("n").alias("most_a_day"))
+    by_day = days.agg(F.count("*").alias("days"), F.min("n").alias("least_a_day"), F.median("n").alias("median_a_day"), F.max("n").alias("most_a_day"))  # of a row a day
     thin_days = days.join(F.broadcast(by_day.select("median_a_day"))).agg(F.count_if(F.col("n") < F.col("median_a_day") * thin).alias("thin_days"))
-    whole = table.agg(
-        F.count("*").alias("n"), F.count_distinct(entity).alias("entities"), F.median(value).alias("median_value"), F.percentile(value, F.lit(0.9)).alias("p90_value"), F.count_if(F.col(value).isNull()).alias("missing")
-    )
-    return whole.join(F.broadcast(by_day)).join(F.broadcast(thin_days))
+    whole = table.agg(F.count("*").alias("n"), F.count_distinct(entity).alias("entities"), F.count_if(F.col(value).isNull()).alias("missing"))
+    spread = percentiles(table, value, (0.5, 0.9)).agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(c) for q, c in ((0.5, "median_value"), (0.9, "p90_value"))])
+    return whole.join(F.broadcast(spread)).join(F.broadcast(by_day)).join(F.broadcast(thin_days))  # a row each

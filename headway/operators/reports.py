@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions.text import GROUPS, statements
@@ -57,10 +57,31 @@ def unknown_overrides(overrides: DataFrame, alerts: DataFrame) -> DataFrame:
 def passage_summary(chunks: DataFrame, document: str, size: str = "n_chars") -> DataFrame:
     """Passages of each document, their least, upper median and greatest length.
 
-    The upper median is the smallest length that more than half of the passages do not exceed.
+    The upper median is the smallest length that more than half of the passages do not exceed.  Lengths are
+    counted first: a document has few different ones.
     """
-    lengths = chunks.groupBy(document).agg(F.array_sort(F.collect_list(size)).alias("l"))
-    return lengths.select(document, F.size("l").cast("long").alias("passages"), F.array_min("l").alias("least"), F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("median"), F.array_max("l").alias("most"))
+    counts = chunks.groupBy(document, size).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(document)
+    up_to = F.sum("c").over(own.orderBy(size).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumns({"_up": up_to, "_n": F.sum("c").over(own)})
+    return ranked.groupBy(document).agg(
+        F.max("_n").alias("passages"), F.min(size).alias("least"), F.min(F.when(F.col("_up") > F.floor(F.col("_n") / 2), F.col(size))).alias("median"), F.max(size).alias("most")
+    )
+
+
+def crosswise(rows: DataFrame, by: str, group: str, most: int = 1000) -> DataFrame:
+    """Counts by ``by`` with a column for each group that occurs; more than ``most`` groups are refused."""
+    names = [r[0] for r in rows.select(group).distinct().orderBy(group).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{group} has over {most} values")
+    return rows.groupBy(by).pivot(group, names).count().fillna(0)
+
+
+def importance(features: Sequence[str], weights: Sequence[float]) -> list[tuple[str, float]]:
+    """Each feature's share of all weight, largest first; nothing to share gives shares of 0."""
+    total = float(sum(weights))
+    shares = [(f, w / total if total else 0.0) for f, w in zip(features, weights, strict=True)]
+    return sorted(shares, key=lambda x: (-x[1], x[0]))
 
 
 def judged(answers: DataFrame, judge: Callable[[str, str], bool | None], id_col: str = "answer_id", text_col: str = "answer", evidence_col: str = "evidence") -> DataFrame:
@@ -88,6 +109,12 @@ def faithfulness(rows: DataFrame, supported: str = "supported", by: Sequence[str
     return rows.groupBy(*by).agg(*parts) if by else rows.agg(*parts)
 
 
+def evidence_ids(text: Column) -> Column:
+    """Ids named in the headings ``[alerts a, b]`` of a text, each once, in order."""
+    heads = F.regexp_extract_all(text, F.lit(r"\[alerts ([^\]]*)\]"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(heads, lambda h: F.regexp_extract_all(h, F.lit(r"\b[0-9a-f]{8}\b"), F.lit(0)))))
+
+
 def unsupported_citations(cited: Column, shown: Column) -> Column:
     """Ids that an answer cites but was not shown."""
     return F.array_except(cited, shown)

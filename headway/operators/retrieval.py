@@ -19,6 +19,10 @@ OVERLAP = 150
 WIDTH = 64
 
 
+#: Blanks between sentences: behind an end mark, before a capital or a digit.
+_BETWEEN = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
+
+
 def _filled(parts: Iterator[str] | Sequence[str], glue: str, target: int) -> Iterator[list[str]]:
     """Runs of parts that, joined by ``glue``, stay within the target; a longer part is a run of its own."""
     run: list[str] = []
@@ -41,7 +45,7 @@ def passages_of(text: str | None, target: int = TARGET, overlap: int = OVERLAP)
         if len(paragraph) <= target:
             units += [paragraph] if paragraph else []
             continue
-        for run in _filled(re.split(r"(?<=[.!?])\s+", paragraph), " ", target):
+        for run in _filled(_BETWEEN.split(paragraph), " ", target):
             joined = " ".join(run).strip()
             units += [joined[i : i + target] for i in range(0, len(joined), target)]
     out: list[str] = []
@@ -50,8 +54,8 @@ def passages_of(text: str | None, target: int = TARGET, overlap: int = OVERLAP)
         if now and len(now) + 2 + len(unit) > target:
             out.append(now)
             now = now[-overlap:] if overlap > 0 else ""
-        now = "\n\n".join(x for x in (now, unit) if x).strip()
-    return [*out, now] if now else out
+        now = f"{now}\n\n{unit}".strip() if now else unit
+    return [*out, now] if now.strip() else out
 
 
 def chunk(df: DataFrame, text_col: str = "text", target: int = TARGET, overlap: int = OVERLAP, least: int = 0) -> DataFrame:
@@ -114,17 +118,18 @@ def top_k(index: DataFrame, query: Sequence[float], k: int, vector: str = "vecto
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), tie)))  # k rows
 
 
-def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col: str, guard: Callable[[Column, Column], Column] | None = None, block: int = 256) -> DataFrame:
+def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col: str, guard: Callable[[Column, Column], Column] | None = None, block: int = 4096, guarded_block: int = 256, beside: Sequence[str] = ()) -> DataFrame:
     """For each row of a set of queries, the k rows of the index most like it: query, id, score, rank.
 
-    Queries go in blocks of bounded size, each sent to every task, which keeps its own best k of each
-    query by numpy; only those are shuffled.  ``guard`` takes (query id, index id) and keeps pairs.
+    Queries go in blocks of bounded size (the index is scanned once a block), each sent to every task, which
+    keeps its own best k of each query by numpy; only those are shuffled.  ``guard`` takes (query id, index id) and keeps pairs; it may
+    look at the columns ``beside`` of the index.
     """
     spark = index.sparkSession
-    rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), *beside)
     blocks: list[list] = [[]]
     for r in queries.select(F.col(id_col).cast("long"), F.col(vector).cast("array<float>")).toLocalIterator():
-        if len(blocks[-1]) == block:
+        if len(blocks[-1]) == (block if guard is None else guarded_block):
             blocks.append([])
         blocks[-1].append(r)
     found = None
@@ -136,7 +141,7 @@ def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col:
         sent = spark.sparkContext.broadcast((names, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)))
 
         guarded = guard is not None
-        seen = rows.withColumn("ok", F.array(*[F.coalesce(guard(F.lit(r[0]), F.col("id")), F.lit(False)) for r in part])) if guarded else rows
+        seen = rows.withColumn("ok", F.array(*[F.coalesce(guard(F.lit(r[0]), F.col("id")), F.lit(False)) for r in part])).drop(*beside) if guarded else rows
 
         def run(batches, sent=sent, guarded=guarded):
             names, q = sent.value
@@ -146,9 +151,12 @@ def top_k_for(queries: DataFrame, index: DataFrame, k: int, vector: str, id_col:
                     continue
                 ids = pdf["id"].to_numpy()
                 v = np.array(pdf["v"].tolist(), np.float64)
-                s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T
+                v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T
                 ok = np.array(pdf["ok"].tolist(), bool) if guarded else None
-                for i, row in enumerate(s):
+                for i in range(len(names)):
+                    if i % 64 == 0:  # scores of some queries at a time
+                        s = q[i : i + 64] @ v
+                    row = s[i % 64]
                     good = np.flatnonzero((ids != names[i]) & ok[:, i] if guarded else ids != names[i])
                     top = good[np.lexsort((ids[good], -row[good]))[:k]]
                     kept[i] = sorted(kept[i] + [(-row[j], ids[j]) for j in top])[:k]
@@ -188,9 +196,19 @@ def build_index(chunks: DataFrame, path: str, fingerprint: dict, id_col: str = "
     chunks.sparkSession.createDataFrame([(json.dumps(fingerprint, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fingerprint")
 
 
+def stale_reasons(found: dict, expected: dict) -> list[str]:
+    """What an index was built with that is not as expected, in words."""
+    return [f"{k} is {found.get(k)!r}, not {v!r}" for k, v in sorted(expected.items()) if found.get(k) != v]
+
+
 def open_index(spark, path: str, expected: dict) -> DataFrame:
     """The passages, unless the index was built with other settings."""
     found = json.loads(spark.read.text(f"{path}/fingerprint").first()[0])
-    if stale := [f"{k} is {found.get(k)!r}, not {v!r}" for k, v in expected.items() if found.get(k) != v]:
+    if stale := stale_reasons(found, expected):
         raise StaleIndexError("build the index again: " + "; ".join(stale))
     return spark.read.parquet(f"{path}/passages")
+
+
+def similarity(distance: Column) -> Column:
+    """Of a cosine distance."""
+    return 1 - distance

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from headway.functions.time import ceil_to, floor_to
 
 
+#: Rows of one segment of an as-of join, about.
+SEGMENT_ROWS = 200_000
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], first: bool = False) -> DataFrame:
     """The row of each key that is last (or first) in ``order``, which must be total for one result.
 
@@ -22,13 +26,19 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
 
 
-def asof_last(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str] = (), take: Sequence[str] = (), segment_s: int = 86_400) -> DataFrame:
+def asof_last(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str] = (), take: Sequence[str] = (), segment_s: int | None = None) -> DataFrame:
     """``left`` with the columns ``take`` of the last row of ``right`` at or before its time, else NULL.
 
     Rows of both sides are merged and the last one on the right is carried forward.  So that no key
     is one task, time is cut into segments: inside a segment the window carries, and each segment starts
-    with the last row of the segments before it, which is found on one row a segment.
+    with the last row of the segments before it, which is found on one row a segment.  Segments are so short
+    (a second at least) that one has about SEGMENT_ROWS rows of both sides.
     """
+    if segment_s is None:
+        sides = [df.agg(F.count("*").alias("n"), *[f(F.unix_seconds(F.col(ts).cast("timestamp"))).alias(k) for k, f in (("a", F.min), ("b", F.max))]).first() for df, ts in ((left, left_ts), (right, right_ts))]
+        n = sum(r["n"] for r in sides)
+        span = max((r["b"] for r in sides if r["n"] and r["b"] is not None), default=0) - min((r["a"] for r in sides if r["n"] and r["a"] is not None), default=0)
+        segment_s = max(1, span * SEGMENT_ROWS // max(n, 1))
     value = F.struct(F.col(right_ts).alias("_at"), *[F.col(c) for c in take])
     r = right.select(*by, F.col(right_ts).alias("_ts"), value.alias("_r"), F.lit(0).alias("_side"), F.lit(None).alias("_l"))
     l = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns if c not in by]).alias("_l"))  # noqa: E741
@@ -61,7 +71,7 @@ def dense_grid(coverage: DataFrame, start: str, end: str, seconds: int, by: str,
     if isinstance(values, DataFrame):
         # One row for each distinct value: as an array it costs no join.
         values = values.agg(F.array_sort(F.collect_set(by)).alias("_all"))
-        return times.join(F.broadcast(values)).select(F.explode("_all").alias(by), out)
+        return times.join(F.broadcast(values)).select(F.explode("_all").alias(by), out)  # values: one row
     return times.select(F.explode(F.array(*[F.lit(v) for v in values])).alias(by), out)
 
 

@@ -6,12 +6,8 @@ value), line items are the calls of a trip, orders are trips, embeddings are pas
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import cache
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +15,14 @@ from headway.functions import text as text_functions
 from headway.functions.time import calendar, clock, gtfs_seconds, service_day
 from headway.operators import alerts, evalstats, labels, merge, models, reconcile, reports, retrieval, temporal, tools
 from headway.sources.feed import first_per_group
+from headway.schemas import DETECTION_FEATURES, DETECTION_FORBIDDEN, features
+from headway.session import cut as _cut
+from headway.session import work_folder
 from headway.streaming import collect
 
 WINDOW_S = 3 * 3600
 RULE = labels.LabelRule(late_s=100, share=0.25, min_services=5, window_s=WINDOW_S)
-RESAMPLES = 200
+RESAMPLES = 2000
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -42,11 +41,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from headway.plans import moments, stores, words  # noqa: F401  they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **_draw_sql()}
+    queries()
+    return dict(_SQL)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,7 +118,7 @@ def guarded_upsert(spark, sf_dir):
     """SNK1 TMP5: a second batch of observations folded into what is stored of the first."""
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_id", "event_type")
     first, second = (rows.filter(h).drop("event_type") for h in _HALVES)
-    stored = merge.fold_batch(first, ["user_id"], "ts", ["event_id"]).drop("_times")
+    stored = merge.fold_batch(first, ["user_id"], "ts", ["event_id"])
     out = merge.guarded_upsert(stored, second, ["user_id"], "ts", ["event_id"])
     return out.select("user_id", "value", _stamp("first_seen_utc").alias("first_seen"), _stamp("last_seen_utc").alias("last_seen"), "observation_count")
 
@@ -191,10 +193,10 @@ def semi_wanted(spark, sf_dir):
     return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_unmatched(spark, sf_dir):
     """JN10 JN24 SET6: rows whose key is unknown."""
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT n_nationkey, n_name, r_name AS station FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -230,12 +232,12 @@ def gtfs_time(spark, sf_dir):
 
 @query(
     """WITH m AS (SELECT *, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem)
-    SELECT l_orderkey, l_linenumber, month FROM m WHERE month IN (SELECT month FROM m GROUP BY month HAVING avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0 END) >= 0.5)"""
+    SELECT l_orderkey, l_linenumber, month FROM m WHERE month IN (SELECT month FROM m GROUP BY month HAVING avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0 END) >= 0.333)"""
 )
 def coverage_filter(spark, sf_dir):
     """FIL3 AG6: whole periods stay or go by the share of their rows that is covered."""
     rows = _table(spark, sf_dir, "lineitem").withColumns({"month": F.date_format("l_shipdate", "yyyy-MM"), "covered": F.when(F.col("l_returnflag") == "N", 1)})
-    return reconcile.schedule_covered(rows, "month", "covered").select("l_orderkey", "l_linenumber", "month")
+    return reconcile.schedule_covered(rows, "month", "covered", least=0.333).select("l_orderkey", "l_linenumber", "month")
 
 
 @query(
@@ -266,8 +268,7 @@ _TYPES = ("click", "error", "purchase", "signup", "view")
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _TYPES) + " FROM events GROUP BY 1")
 def pivot_dates(spark, sf_dir):
     """AG8: counts by date and line, crosswise."""
-    rows = _table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return rows.groupBy("day").pivot("event_type", list(_TYPES)).count().fillna(0)
+    return reports.crosswise(_table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", "event_type")
 
 
 @query(
@@ -343,7 +344,7 @@ def _marker_sql(markers) -> str:
 
 @query(
     f"""WITH d AS (SELECT doc_id, lower(source || chr(10) || text) AS t FROM documents), m AS (SELECT doc_id, {_marker_sql(text_functions.PLANNED)} AS p, {_marker_sql(text_functions.IMPACT)} AS i FROM d)
-    SELECT doc_id, p IS NULL AND i IS NOT NULL AS is_incident, CASE WHEN p IS NOT NULL THEN 'planned: ' || p WHEN i IS NOT NULL THEN 'impact: ' || i ELSE 'notice' END AS reason FROM m"""
+    SELECT doc_id, p IS NULL AND i IS NOT NULL AS is_incident, CASE WHEN p IS NOT NULL THEN 'planned work: ''' || p || '''' WHEN i IS NOT NULL THEN 'service impact: ''' || i || '''' ELSE 'no effect on train running stated' END AS reason FROM m"""
 )
 def classify_text(spark, sf_dir):
     """SC12: the ordered rule over whole texts."""
@@ -409,14 +410,6 @@ def flatten_scopes(spark, sf_dir):
     return alert_scopes(feed, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("alert_id", "route_id", "direction_id", "active_period_start", "active_period_end")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="headway-cp-"))
-    return df.checkpoint(eager=True)
-
-
 _ISLANDS = """
     g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER o) <= 2100 THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id)),
     i AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g)
@@ -539,24 +532,12 @@ def coverage_table(spark, sf_dir):
     return out.withColumn("share_inside", F.round("share_inside", 9))
 
 
-_DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
-
-
-@cache
-def _draw_sql() -> dict[str, str]:
-    """SQL of the bootstraps: the draws, made by the same generator, are listed in it."""
-    rng = np.random.default_rng(0)
-    rows = []
-    for r in range(RESAMPLES):
-        picked = np.bincount(rng.choice(len(_DAYS), size=len(_DAYS), replace=True), minlength=len(_DAYS))
-        rows += [f"({r},'{d}',{n})" for d, n in zip(_DAYS, picked, strict=True) if n]
-    draws = f"draws(resample, day, times) AS (VALUES {','.join(rows)})"
-    sums = "d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(value) AS s, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS es, count(*) FILTER (event_type = 'error') AS en FROM events GROUP BY 1)"
-    out = "SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, avg(CASE WHEN m IS NOT NULL THEN 1.0 ELSE 0 END) AS defined FROM x"
-    return {
-        "bootstrap_date": f"WITH {draws}, {sums}, x AS (SELECT resample, sum(s * times) / sum(n * times) AS m FROM draws JOIN d USING (day) GROUP BY 1) {out}",
-        "paired_bootstrap": f"WITH {draws}, {sums}, x AS (SELECT resample, sum(es * times) / nullif(sum(en * times), 0) - sum(s * times) / sum(n * times) AS m FROM draws JOIN d USING (day) GROUP BY 1) {out}",
-    }
+#: The draws of the bootstraps: each resample draws as many dates as there are, by digests of its number and the draw's.
+_DRAWS = f"""days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events)),
+    drawn AS (SELECT r AS resample, CAST('0x' || substr(md5('0-' || r || '-' || j.i), 1, 12) AS BIGINT) % j.n AS i FROM range({RESAMPLES}) t(r), days j),
+    draws AS (SELECT resample, day, count(*) AS times FROM drawn JOIN days USING (i) GROUP BY ALL),
+    d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(value) AS s, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS es, count(*) FILTER (event_type = 'error') AS en FROM events GROUP BY 1)"""
+_INTERVAL = "SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, avg(CASE WHEN m IS NOT NULL THEN 1.0 ELSE 0 END) AS defined FROM x"
 
 
 def _by_day(spark, sf_dir):
@@ -568,18 +549,18 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
-@query()
+@query(f"WITH {_DRAWS}, x AS (SELECT resample, sum(s * times) / sum(d.n * times) AS m FROM draws JOIN d USING (day) GROUP BY 1) {_INTERVAL}")
 def bootstrap_date(spark, sf_dir):
     """AG20 SET7: an interval of the mean, whole dates resampled."""
-    draws = evalstats.date_draws(spark, _DAYS, RESAMPLES)
-    return _rounded(evalstats.bootstrap_by_date(_by_day(spark, sf_dir), draws, ["s", "n"], lambda s, n: F.try_divide(s, n)))
+    by_day = _by_day(spark, sf_dir)
+    return _rounded(evalstats.bootstrap_by_date(by_day, evalstats.date_draws(by_day, RESAMPLES), ["s", "n"], lambda s, n: F.try_divide(s, n)))
 
 
-@query()
+@query(f"WITH {_DRAWS}, x AS (SELECT resample, sum(es * times) / nullif(sum(en * times), 0) - sum(s * times) / sum(d.n * times) AS m FROM draws JOIN d USING (day) GROUP BY 1) {_INTERVAL}")
 def paired_bootstrap(spark, sf_dir):
     """AG21: an interval of a difference, both sides on the same draws."""
-    draws = evalstats.date_draws(spark, _DAYS, RESAMPLES)
-    return _rounded(evalstats.bootstrap_by_date(_by_day(spark, sf_dir), draws, ["s", "n", "es", "en"], lambda s, n, es, en: F.try_divide(es, en) - F.try_divide(s, n)))
+    by_day = _by_day(spark, sf_dir)
+    return _rounded(evalstats.bootstrap_by_date(by_day, evalstats.date_draws(by_day, RESAMPLES), ["s", "n", "es", "en"], lambda s, n, es, en: F.try_divide(es, en) - F.try_divide(s, n)))
 
 
 @query(
@@ -697,7 +678,27 @@ def cosine_topk_guarded(spark, sf_dir):
     return found.select("id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+#: A text's words with the blanks behind them, and a mark behind each that ends a sentence before another.
+_MARKED = r"""array_to_string(list_transform(range(1, len(w) + 1), lambda i: w[i] || CASE WHEN {ends} THEN chr(1) ELSE '' END), '')"""
+_ENDS_PLAIN = r"regexp_matches(w[i], '[.!?]\s+$') AND regexp_matches(w[i + 1], '^[A-Z0-9]')"
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_CHUNKS = f"""RECURSIVE p AS (SELECT doc_id, unnest(range(len(x))) AS pno, {_STRIP.format("unnest(x)")} AS p FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM documents)),
+    w AS (SELECT doc_id, pno, regexp_extract_all(p, '\\S+\\s*') AS w FROM p WHERE len(p) > 1000),
+    s AS (SELECT doc_id, pno, list_transform(string_split({_MARKED.format(ends=_ENDS_PLAIN)}, chr(1)), lambda x: regexp_replace(x, '\\s+$', '')) AS s FROM w),
+    f(doc_id, pno, i, now, done) AS (SELECT doc_id, pno, 1, s[1], CAST(NULL AS VARCHAR) FROM s UNION ALL
+        SELECT f.doc_id, f.pno, i + 1, CASE WHEN i >= len(s) THEN NULL WHEN len(now) + 1 + len(s[i + 1]) > 1000 THEN s[i + 1] ELSE now || ' ' || s[i + 1] END, CASE WHEN i >= len(s) OR len(now) + 1 + len(s[i + 1]) > 1000 THEN now END
+        FROM f JOIN s ON f.doc_id = s.doc_id AND f.pno = s.pno WHERE i <= len(s) AND now IS NOT NULL),
+    runs AS (SELECT doc_id, pno, i, {_STRIP.format("done")} AS r FROM f WHERE done IS NOT NULL),
+    u AS (SELECT doc_id, pno, 0 AS i, 0 AS k, p AS unit FROM p WHERE p <> '' AND len(p) <= 1000 UNION ALL SELECT doc_id, pno, i, unnest(range(0, len(r), 1000)) AS k, substr(r, unnest(range(0, len(r), 1000)) + 1, 1000) FROM runs),
+    units AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY pno, i, k) AS n FROM u),
+    g(doc_id, n, now, done) AS (SELECT doc_id, 1, unit, CAST(NULL AS VARCHAR) FROM units WHERE n = 1 UNION ALL
+        SELECT g.doc_id, g.n + 1, CASE WHEN unit IS NULL THEN NULL WHEN len(now) + 2 + len(unit) > 1000 THEN {_STRIP.format("right(now, 150) || chr(10) || chr(10) || unit")} ELSE {_STRIP.format("now || chr(10) || chr(10) || unit")} END,
+            CASE WHEN unit IS NULL OR len(now) + 2 + len(unit) > 1000 THEN now END
+        FROM g LEFT JOIN units ON g.doc_id = units.doc_id AND units.n = g.n + 1 WHERE now IS NOT NULL),
+    chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_no, done AS chunk FROM g WHERE done IS NOT NULL)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM chunks")
 def chunk_documents(spark, sf_dir):
     """GEN1 GEN2 GEN3: passages of whole documents."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -712,7 +713,14 @@ def embed_chunks(spark, sf_dir):
     return out.select("doc_id", "chunk_no", F.round(retrieval.dot(F.col("vector"), F.col("vector")), 4).alias("norm"), F.size("vector").alias("width"))
 
 
-@query()
+_ENDS_SAID = r"""regexp_matches(rtrim(w[i]), '[.!?][)\]"'']?$') AND regexp_matches(w[i + 1], '^[A-Z0-9"''(\[]') AND regexp_extract(rtrim(w[i]), '[A-Za-z.]+$') NOT IN ('e.g.', 'i.e.', 'St.', 'Mt.', 'vs.', 'approx.', 'Approx.')"""
+_STATEMENTS = rf"""lines AS (SELECT conv_id, turn, unnest(range(len(x))) AS l, trim(unnest(x)) AS line FROM (SELECT conv_id, turn, regexp_split_to_array(text, '\r\n|\n|\r') AS x FROM conversations)),
+    w AS (SELECT conv_id, turn, l, regexp_extract_all(line, '\S+\s*') AS w FROM lines),
+    s AS (SELECT conv_id, turn, l, unnest(range(len(x))) AS k, trim(unnest(x)) AS statement FROM (SELECT conv_id, turn, l, string_split({_MARKED.format(ends=_ENDS_SAID)}, chr(1)) AS x FROM w)),
+    said AS (SELECT conv_id, turn, conv_id || '#' || turn || '#' || (row_number() OVER (PARTITION BY conv_id, turn ORDER BY l, k) - 1) AS statement_id, statement FROM s WHERE statement <> '')"""
+
+
+@query(f"WITH {_STATEMENTS} SELECT statement_id, statement FROM said")
 def split_statements(spark, sf_dir):
     """SC18 GEN6: sentences of answers, numbered."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text_functions.statements(F.col("text"))).alias("i", "statement"))
@@ -735,7 +743,7 @@ def translation_pick(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS g, CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS line FROM documents), d AS (SELECT g, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY g)
+    """WITH l AS (SELECT substr(sha256(line), 1, 3) AS g, line FROM (SELECT CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS line FROM documents)), d AS (SELECT g, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY g)
     SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS hash FROM d"""
 )
 def corpus_hash(spark, sf_dir):
@@ -797,20 +805,26 @@ def question_set(spark, sf_dir):
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(DISTINCT ts) AS observation_count FROM events GROUP BY user_id")
 def stream_replay(spark, sf_dir):
     """TMP1 TMP3 TMP5: the events collected as a stream into a keyed table, and the table read."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="headway-stream-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     rows = collect.snapshots(spark, f"{sf_dir}/events.parquet", _table(spark, sf_dir, "events").schema).select("user_id", "ts", "value", "event_id")
     table = collect.VersionedTable(spark, f"{folder}/table")
     collect.collect(rows, table, ["user_id"], "ts", f"{folder}/checkpoint", ["event_id"]).awaitTermination()
     return table.read().select("user_id", "value", _stamp("first_seen_utc").alias("first_seen"), _stamp("last_seen_utc").alias("last_seen"), "observation_count")
 
 
-_NUMBERS = ("n_services", "n_late", "share_late", "mean_delay_s", "max_delay_s", *(f"{c}_lag{k}" for c in ("share_late", "n_services", "max_delay_s") for k in (1, 2, 3)), "hour_local", "day_of_week")
+_NUMBERS = tuple(c for c in DETECTION_FEATURES if c != "line")
 
 
 def _detection(spark, sf_dir) -> DataFrame:
-    table = labels.detection_table(_labels(spark, sf_dir).drop("target"), history=3)
-    return reconcile.with_split(table.withColumn("date", F.date_format("window_start", "yyyy-MM-dd")), "date")
+    """Windows with all the features of the contract; errors stand in for alert polls, purchases for alerts."""
+    rows = _events(spark, sf_dir)
+    polls = rows.filter("line = 'error'").select(F.col("observed_at").alias("poll_time"))
+    seen = rows.filter("line = 'purchase' AND delay_s > 60").select(F.explode(F.array(*[F.lit(t) for t in _TYPES])).alias("line"), F.col("observed_at").alias("first_seen"), (F.col("observed_at") + F.expr("INTERVAL 2 HOURS")).alias("last_seen"), "delay_s")
+    seen = seen.filter((F.col("delay_s") % 5).cast("int") == F.length("line") % 5)
+    flagged = labels.alert_in_feed(_labels(spark, sf_dir).drop("target"), polls, seen, WINDOW_S)
+    table = labels.detection_table(flagged, history=3)
+    table = reconcile.with_split(table.withColumn("date", F.date_format("window_start", "yyyy-MM-dd")), "date")
+    return features(table, DETECTION_FEATURES, DETECTION_FORBIDDEN, keep=("window_start", "split", "target"))
 
 
 def _detector(kind: str, spark, sf_dir) -> DataFrame:
@@ -895,7 +909,7 @@ def split_report(spark, sf_dir):
     return reports.split_report(rows)
 
 
-@query()
+@query(f"WITH {_CHUNKS}, l AS (SELECT doc_id, list_sort(list(len(chunk))) AS l FROM chunks GROUP BY 1) SELECT doc_id, len(l) AS passages, CAST(l[1] AS INTEGER) AS least, CAST(l[len(l) // 2 + 1] AS INTEGER) AS median, CAST(l[-1] AS INTEGER) AS most FROM l")
 def passage_summary(spark, sf_dir):
     """AG29: passages of each document."""
     return reports.passage_summary(chunk_documents(spark, sf_dir), "doc_id")

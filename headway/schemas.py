@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 from headway.errors import LeakageError, SchemaMismatchError
 
 
-
-#: DDL strings: a session is not needed to name them.
+#: Columns of the stored tables and feeds, as DDL strings, which need no session.
 STOP_OBSERVATIONS = (
     "service_date string, trip_id string, stop_id string, stop_sequence int, route_id string, route_short_name string, "
     "stops_ahead int, arrival_delay_s int, departure_delay_s int, schedule_relationship string, "
@@ -64,7 +63,7 @@ DELAY_FORBIDDEN = frozenset(
 )
 DETECTION_FEATURES = (
     "line", "n_services", "n_late", "share_late", "mean_delay_s", "max_delay_s",
-    *(f"{c}_lag{k}" for c in ("share_late", "n_services", "max_delay_s") for k in (1, 2, 3)),
+    *(f"{c}_lag{k}" for k in (1, 2, 3) for c in ("share_late", "n_services", "max_delay_s")),
     "hour_local", "day_of_week", "is_weekend", "is_peak", "alert_in_feed",
 )
 DETECTION_FORBIDDEN = frozenset(

@@ -98,6 +98,11 @@ def route_summary(updates: DataFrame, routes: DataFrame) -> DataFrame:
     return with_routes(counts, routes).orderBy(F.col("route_short_name").isNull(), F.desc("trips"), "route_id")
 
 
+def top_routes(updates: DataFrame, routes: DataFrame, k: int = 20) -> DataFrame:
+    """The first k rows of the summary: a report."""
+    return route_summary(updates, routes).limit(k)
+
+
 def lookup_mismatch(updates: DataFrame, routes: DataFrame) -> Column | bool:
     """Whether there are trips but none of a known route: the lookup is of another era."""
     row = with_routes(updates.select(F.col("trip.route_id").alias("route_id")), routes).agg(F.count("*").alias("n"), F.count("route_short_name").alias("known")).first()

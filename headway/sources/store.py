@@ -15,9 +15,10 @@ from headway.errors import SchemaMismatchError
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("headway_sqlite")`` with options path, table, and partitions (by row id, default 8).
+    """``spark.read.format("headway_sqlite")`` with options path, table, and partitions (ranges of row ids, default 8).
 
-    The file must be at the same path on every executor; it is opened read-only.
+    The file must be at the same path on every executor; it is opened read-only.  With a schema given, a file
+    that is not there is an empty table.
     """
 
     @classmethod
@@ -43,14 +44,40 @@ class _SqliteReader(DataSourceReader):
         self.path, self.table, self.n, self.columns = options["path"], options["table"], int(options.get("partitions", 8)), schema.fieldNames()
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.n)]
+        """Ranges of row ids, the first and the last without a bound; one whole range for a table without row ids."""
+        import os
+        import sqlite3
+
+        if not os.path.exists(self.path):
+            return []
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            try:
+                low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            except sqlite3.OperationalError:
+                return [InputPartition(None)]
+        if low is None:
+            return []
+        n = max(1, min(self.n, high - low + 1))
+        cuts = [low + (high - low + 1) * i // n for i in range(1, n)]
+        return [InputPartition(x) for x in zip([None, *cuts], [*cuts, None], strict=True)]
 
     def read(self, partition) -> Iterator[tuple]:
         import sqlite3
 
+        if partition is None:  # there is nothing to read
+            return
         names = ", ".join(f'"{c}"' for c in self.columns)
+        bounds = [(f"rowid {op} ?", x) for op, x in zip((">=", "<"), partition.value or (), strict=False) if x is not None]
+        where = f" WHERE {' AND '.join(b for b, _ in bounds)}" if bounds else ""
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid % ? = ?', (self.n, partition.value))
+            yield from db.execute(f'SELECT {names} FROM "{self.table}"{where}', [x for _, x in bounds])
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str | None = None) -> DataFrame:
+    """A table of a database file; with a schema, an empty one if there is no file."""
+    spark.dataSource.register(SqliteSource)
+    reader = spark.read.format("headway_sqlite").option("path", path).option("table", table)
+    return (reader.schema(schema) if schema else reader).load()
 
 
 def read_snapshots(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -119,3 +146,55 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "appe
     if kind == "csv":
         writer = writer.option("header", True)
     writer.format(kind).save(path)
+
+
+def stop_events(observations: DataFrame, lines: list[str]) -> DataFrame:
+    """Observations of some lines, with the arrival's delay or else the departure's; rows with neither stay."""
+    return observations.filter(F.col("route_short_name").isin(lines)).withColumn("delay_s", F.coalesce("arrival_delay_s", "departure_delay_s"))
+
+
+def ok_polls(log: DataFrame) -> DataFrame:
+    """Times of the polls that went well, each once, in order."""
+    return log.filter("status = 'ok'").select("poll_time_utc").distinct().orderBy("poll_time_utc")
+
+
+def tracked_statuses(statuses: DataFrame, lines: list[str]) -> DataFrame:
+    """Trips of some lines that are cancelled or skip stops."""
+    return statuses.filter(F.col("route_short_name").isin(lines) & ((F.col("trip_relationship") == "CANCELED") | (F.size("skipped_stop_ids") > 0)))
+
+
+def write_route_lookup(routes: DataFrame, path: str) -> None:
+    """route_id and its short name, one row a route, as CSV."""
+    names = routes.filter("route_id IS NOT NULL").groupBy("route_id").agg(F.max("route_short_name").alias("route_short_name"))
+    names.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_route_lookup(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked(spark, path, "route_id string, route_short_name string")
+
+
+def copy_table(spark: SparkSession, source: str, target: str) -> int:
+    """A copy of a Parquet table as it is when the copy begins (a scan lists its files once); the number of rows."""
+    spark.read.parquet(source).write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target).count()
+
+
+def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows as JSON lines (answers, judged statements, transcripts); what is there already is not written over."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_blind_sheet(sample: DataFrame, path: str, keep=("statement_id", "system", "statement", "evidence"), blank: str = "human_supported") -> None:
+    """A labelling sheet: what a rater needs, in order, and a column to fill in; no verdict is in it."""
+    rows = sample.select(*keep, F.lit("").alias(blank)).orderBy(keep[0])
+    rows.write.mode("errorifexists").option("header", True).option("emptyValue", "").option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def read_sheet(spark: SparkSession, path: str, blank: str = "human_supported") -> DataFrame:
+    """statement_id and the rater's yes or no; anything else is an error."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if "statement_id" not in rows.columns or blank not in rows.columns:
+        raise SchemaMismatchError(f"{path} needs columns statement_id and {blank}")
+    said = F.lower(F.trim(F.coalesce(F.col(blank), F.lit(""))))
+    wrong = F.raise_error(F.concat(F.lit(f"{blank} must be yes or no: "), "statement_id"))
+    return rows.select("statement_id", F.when(said == "yes", True).when(said == "no", False).otherwise(wrong.cast("boolean")).alias(blank))

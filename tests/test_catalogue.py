@@ -9,7 +9,7 @@ import pytest
 from headway.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"forest_detect", "logit_detect", "boosted_detect", "gbt_delay"}
+SLOW = {"forest_detect", "logit_detect", "boosted_detect", "gbt_delay", "ablation_detect", "delay_model", "kept_detector"}
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
@@ -43,12 +43,19 @@ def test_query(name, spark, sf_dir, duck):
     assert rows == want
 
 
-@pytest.mark.parametrize("name", ["forest_detect", "gbt_delay"])
+@pytest.mark.parametrize("name", ["logit_detect", "boosted_detect", "gbt_delay", "delay_model"])
 def test_models_run(name, spark, sf_dir):
     rows = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
     assert rows
     if name == "gbt_delay":
         assert rows[0]["mae"] <= rows[0]["mae"] / rows[0]["mase"] * 1.05  # no worse than the guess by the call before
+    if name == "delay_model":
+        by = {r["guess"]: r for r in rows}
+        assert by["model"]["mae"] < by["persistence"]["mae"] and by["persistence"]["mase"] == 1.0 and 0.8 <= by["model"]["inside"] <= 1
+    if name.endswith("_detect"):
+        # The flag is the score against one threshold, whatever the part of the data.
+        flagged, others = ([r["score"] for r in rows if r["flag"] == f] for f in (True, False))
+        assert all(0 <= r["score"] <= 1 for r in rows) and (not flagged or not others or min(flagged) >= max(others) - 1e-6)
 
 
 def test_entry_runs(spark):

@@ -48,7 +48,7 @@ def test_asof_takes_the_last_at_or_before(spark):
 
 def test_upsert_guards(spark):
     schema = "k long, t timestamp, v string"
-    stored = merge.fold_batch(spark.createDataFrame([(1, at(5), "a"), (1, at(5), "a"), (2, at(9), "b"), (2, at(1), "x")], schema), ["k"], "t", ["v"]).drop("_times")
+    stored = merge.fold_batch(spark.createDataFrame([(1, at(5), "a"), (1, at(5), "a"), (2, at(9), "b"), (2, at(1), "x")], schema), ["k"], "t", ["v"])
     batch = spark.createDataFrame([(1, at(4), "late"), (2, at(9), "equal"), (3, at(1), "new"), (1, at(7), "c"), (1, at(6), "d")], schema)
     got = {r["k"]: tuple(r)[1:] for r in merge.guarded_upsert(stored, batch, ["k"], "t", ["v"]).collect()}
     assert got == {1: ("c", at(5), at(7), 3), 2: ("b", at(1), at(9), 2), 3: ("new", at(1), at(1), 1)}
@@ -143,12 +143,12 @@ def _alerts(spark):
 
 
 def test_alert_rules_and_incidents(spark):
-    said = spark.createDataFrame([("e", True)], "alert_id string, is_incident boolean")
+    said = spark.createDataFrame([("e", True, "seen")], "alert_id string, is_incident boolean, reason string")
     got = {r["alert_id"]: (r["is_incident"], r["reason"]) for r in alerts.audited(_alerts(spark), said).collect()}
-    assert got["a"][0] is False and got["a"][1] == "planned: trackwork"
-    assert got["b"] == (True, "impact: not running") and got["c"] == (False, "notice") and got["d"] == (True, "impact: delay")
-    assert got["e"] == (True, "override") and got["f"] == (False, "present too long")
-    assert {r["alert_id"]: r["reason"] for r in alerts.audited(_alerts(spark)).collect()}["e"] == "maintenance"
+    assert got["a"] == (False, "planned work: 'trackwork'")
+    assert got["b"] == (True, "service impact: 'not running'") and got["c"] == (False, "no effect on train running stated") and got["d"] == (True, "service impact: 'delay'")
+    assert got["e"] == (True, "override: seen") and got["f"] == (False, "standing notice (25 h in the feed)")
+    assert {r["alert_id"]: r["reason"] for r in alerts.audited(_alerts(spark)).collect()}["e"] == "planned maintenance"
     picked = alerts.audited(_alerts(spark), said).filter("is_incident")
     found = alerts.incidents(picked, _cut)
     rows = {tuple(r["alert_ids"]): r for r in found.collect()}
@@ -161,28 +161,29 @@ def test_alert_rules_and_incidents(spark):
     assert alerts.passages(picked, found).first()["text"].count("\n") == 4
 
 
-def test_handovers_equal_all_pairs(spark):
-    """Components of the few edges are those of all hand-overs."""
-    rng = random.Random(4)
-    rows = []
-    for i in range(150):
-        a = rng.randint(0, 3000)
-        rows.append((f"{i:03d}", rng.choice(["X", "Y", "UNKNOWN_CAUSE"]), rng.sample(["T1", "T4"], rng.randint(1, 2)), a, a + rng.choice([0, 5, 35, 70, 200])))
-    df = spark.createDataFrame([(i, c, x, at(a), at(b)) for i, c, x, a, b in rows], "alert_id string, cause string, lines array<string>, first_seen timestamp, last_seen timestamp")
-    label = {r[0]: r[0] for r in rows}
-    links = [(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and set(p[2]) & set(q[2]) and min(abs(q[3] - p[4]), abs(p[3] - q[4])) <= 35 and (p[1] == q[1] or "UNKNOWN_CAUSE" in (p[1], q[1]))]
-    changed = True
-    while changed:
-        changed = False
-        for p, q in links:
-            m = min(label[p], label[q])
-            if (label[p], label[q]) != (m, m):
-                label[p] = label[q] = m
-                changed = True
-    edges = alerts.handovers(df)
-    assert {tuple(sorted(r)) for r in edges.collect()} <= set(links)
-    found = {r["vertex"]: r["component"] for r in connected_components(edges, _cut).collect()}
-    assert {i: found.get(i, i) for i in label} == label
+def test_incidents_equal_all_pairs(spark):
+    """The components of all pairs that hand over, by brute force; also of points in time, and across time slots."""
+    for seed, most in ((4, 3000), (5, 20_000), (6, 500)):
+        rng = random.Random(seed)
+        rows = []
+        for i in range(150):
+            a = rng.randint(0, most)
+            rows.append((f"{i:03d}", rng.choice(["X", "Y", "Z", "UNKNOWN_CAUSE"]), rng.sample(["T1", "T4", "T8"], rng.randint(1, 2)), a, a + rng.choice([0, 0, 5, 35, 70, 200, 900])))
+        df = spark.createDataFrame([(i, c, x, at(a), at(b)) for i, c, x, a, b in rows], "alert_id string, cause string, lines array<string>, first_seen timestamp, last_seen timestamp")
+        label = {r[0]: r[0] for r in rows}
+        links = [(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and set(p[2]) & set(q[2]) and min(abs(q[3] - p[4]), abs(p[3] - q[4])) <= 35 and (p[1] == q[1] or "UNKNOWN_CAUSE" in (p[1], q[1]))]
+        changed = True
+        while changed:
+            changed = False
+            for p, q in links:
+                m = min(label[p], label[q])
+                if (label[p], label[q]) != (m, m):
+                    label[p] = label[q] = m
+                    changed = True
+        want = {}
+        for i, c in label.items():
+            want.setdefault(c, []).append(i)
+        assert sorted(r["alert_ids"] for r in alerts.incidents(df, _cut).collect()) == sorted(sorted(v) for v in want.values())
 
 
 def test_cut_points():
@@ -237,17 +238,34 @@ def test_conformal_rank(spark):
 
 
 def test_bootstrap_uses_the_same_draws(spark):
+    import hashlib
+
     import numpy as np
 
-    dates = ["a", "b", "c"]
-    draws = evalstats.date_draws(spark, dates, 50, seed=0)
     by = spark.createDataFrame([("a", 1.0, 2), ("b", 5.0, 1), ("c", 0.0, 4)], "date string, s double, n long")
+    draws = evalstats.date_draws(by, 50, seed=0)
     row = evalstats.bootstrap_by_date(by, draws, ["s", "n"], lambda s, n: F.try_divide(s, n)).first()
-    rng, vals, s, n = np.random.default_rng(0), [], np.array([1.0, 5.0, 0.0]), np.array([2, 1, 4])
-    for _ in range(50):
-        i = rng.choice(3, size=3, replace=True)
+    vals, s, n = [], np.array([1.0, 5.0, 0.0]), np.array([2, 1, 4])
+    for r in range(50):
+        i = [int(hashlib.md5(f"0-{r}-{j}".encode()).hexdigest()[:12], 16) % 3 for j in range(3)]
         vals.append(s[i].sum() / n[i].sum())
     assert (row["low"], row["high"]) == (pytest.approx(np.percentile(vals, 2.5)), pytest.approx(np.percentile(vals, 97.5)))
+    assert evalstats.date_draws(by.limit(0), 5).count() == 0
+
+
+def test_percentiles_equal_sorting(spark):
+    import numpy as np
+
+    rng = random.Random(21)
+    groups = {"a": [rng.choice([1.0, 2.5, rng.random() * 1e6]) for _ in range(101)], "b": [3.0], "c": [float(i) for i in range(10)], None: [7.0, 9.0], "d": []}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("d", None), ("a", None)]
+    shares = (0.0, 0.05, 0.5, 0.9, 1.0)
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(r["g"], r["share"]): r["value"] for r in evalstats.percentiles(df, "x", shares, ["g"], buckets=8).collect()}
+    assert got == {(g, q): pytest.approx(np.percentile(xs, 100 * q)) for g, xs in groups.items() if xs for q in shares}
+    every = [x for xs in groups.values() for x in xs]
+    assert {r["share"]: r["value"] for r in evalstats.percentiles(df, "x", shares).collect()} == {q: pytest.approx(np.percentile(every, 100 * q)) for q in shares}
+    assert evalstats.percentiles(df.limit(0), "x", shares).count() == 0
 
 
 def test_lead_times(spark):
@@ -321,3 +339,32 @@ def test_guard_of_many_queries_acts_before_the_best_are_kept(spark):
     rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(40)], "id long, v array<double>").coalesce(1)
     got = retrieval.top_k_for(rows.filter("id = 0"), rows, 3, "v", "id", guard=lambda q, x: x > q + 20).orderBy("rank").collect()
     assert [r["id"] for r in got] == [21, 22, 23]
+
+
+def test_eras_are_the_newest_fetched_by_then(spark):
+    from headway.operators import cases
+
+    dates = spark.createDataFrame([("2026-06-10",), ("2026-06-01",), ("2026-05-01",)], "service_date string")
+    bundles = spark.createDataFrame([(f"gtfs_{d}",) for d in ("20260530", "20260601", "20260605", "20260609", "20260611")] + [("other",)], "bundle string")
+    got = sorted(tuple(r) for r in cases.eras_for(dates, bundles).select("service_date", "bundle_rank", "bundle").collect())
+    assert got == [("2026-06-01", 0, "gtfs_20260601"), ("2026-06-01", 1, "gtfs_20260530"), ("2026-06-10", 0, "gtfs_20260609"), ("2026-06-10", 1, "gtfs_20260605"), ("2026-06-10", 2, "gtfs_20260601")]
+
+
+def test_passage_summary(spark):
+    rows = [("a", x) for x in (5, 3, 9, 3)] + [("b", 7)]
+    got = {r[0]: tuple(r)[1:] for r in __import__("headway.operators.reports", fromlist=["x"]).passage_summary(spark.createDataFrame(rows, "d string, n_chars int"), "d").collect()}
+    assert got == {"a": (4, 3, 5, 9), "b": (1, 7, 7, 7)}
+
+
+def test_corpus_hash_has_as_many_levels_as_it_takes(spark):
+    rows = spark.range(5000).select(F.col("id"), F.concat(F.lit("t"), "id").alias("text"))
+    one = text.corpus_hash(rows, "id", "text", digits=1).first()[0]
+    assert one == text.corpus_hash(rows.repartition(7).orderBy(F.desc("id")), "id", "text", digits=1).first()[0]
+    assert one != text.corpus_hash(rows.unionByName(rows.limit(1)), "id", "text", digits=1).first()[0]
+
+
+def test_one_moment_in_seconds_of_its_service_day(spark):
+    from headway.functions import time
+
+    got = spark.range(1).select(time.service_seconds(F.lit(dt.datetime(2026, 10, 3, 14)), F.lit("2026-10-04")).alias("x")).first()[0]
+    assert got == 3600.0  # noon less twelve hours, on a day that is an hour short

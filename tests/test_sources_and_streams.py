@@ -65,6 +65,69 @@ def test_sqlite_source(spark, tmp_path):
         spark.read.format("headway_sqlite").option("path", path).option("table", "none").load().count()
 
 
+def test_sqlite_reads_every_row_once(spark, tmp_path):
+    """Negative and sparse row ids, tables without row ids, and a file that is not there."""
+    path = str(tmp_path / "y.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE a (id INTEGER PRIMARY KEY, x TEXT)")
+        db.executemany("INSERT INTO a VALUES (?, 'x')", [(i,) for i in (-10**12, -3, -2, -1, 0, 1, 5, 10**12)])
+        db.execute("CREATE TABLE b (k TEXT PRIMARY KEY, v REAL) WITHOUT ROWID")
+        db.executemany("INSERT INTO b VALUES (?, 1.5)", [(str(i),) for i in range(20)])
+        db.execute("CREATE TABLE c (v REAL)")
+    assert sorted(r[0] for r in store.read_sqlite(spark, path, "a").collect()) == [-10**12, -3, -2, -1, 0, 1, 5, 10**12]
+    assert store.read_sqlite(spark, path, "b").count() == 20 and store.read_sqlite(spark, path, "c").count() == 0
+    assert store.read_sqlite(spark, str(tmp_path / "none.db"), "a", "id long, x string").collect() == []
+
+
+def test_sheets_and_lines(spark, tmp_path):
+    rows = [("a#0", "s", 'He said "no", twice\nand left', "e,1", True), ("a#1", "s", "Ok", "e2", False)]
+    df = spark.createDataFrame(rows, "statement_id string, system string, statement string, evidence string, supported boolean")
+    store.write_json_lines(df, str(tmp_path / "judged"))
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "judged")).collect())) == sorted(rows)
+    with pytest.raises(Exception, match="exist"):
+        store.write_json_lines(df, str(tmp_path / "judged"))
+    store.write_blind_sheet(df, str(tmp_path / "sheet"))
+    sheet = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "sheet"))
+    assert sheet.columns == ["statement_id", "system", "statement", "evidence", "human_supported"] and sheet.count() == 2
+    assert sheet.orderBy("statement_id").first()["statement"] == rows[0][2]
+    with pytest.raises(Exception, match="yes or no"):
+        store.read_sheet(spark, str(tmp_path / "sheet")).collect()
+    filled = sheet.withColumn("human_supported", F.when(F.col("statement_id") == "a#0", "Yes ").otherwise("no"))
+    filled.write.option("header", True).option("escape", '"').csv(str(tmp_path / "filled"))
+    assert {tuple(r) for r in store.read_sheet(spark, str(tmp_path / "filled")).collect()} == {("a#0", True), ("a#1", False)}
+
+
+def test_batches_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    schema = "k long, t timestamp, v double"
+    table = collect.VersionedTable(spark, str(tmp_path / "t"), buckets=8)
+    collect.merge_batch(table, spark.createDataFrame([(i, at(0), 1.0) for i in range(100)], schema), 0, ["k"], "t")
+    collect.merge_batch(table, spark.createDataFrame([(5, at(1), 2.0), (500, at(1), 2.0)], schema), 1, ["k"], "t")
+    held = table.manifest(1)
+    assert sorted(set(held.values())) == [0, 1] and list(held.values()).count(1) <= 2
+    rows = {r["k"]: r["v"] for r in table.read().collect()}
+    assert len(rows) == 101 and rows[5] == rows[500] == 2.0 and rows[6] == 1.0
+    for n in (2, 3, 4):
+        collect.merge_batch(table, spark.createDataFrame([(5, at(n), float(n))], schema), n, ["k"], "t")
+    assert table.versions() == [3, 4] and len({r["k"] for r in table.read().collect()}) == 101
+
+
+def test_polls_never_raise(spark, tmp_path):
+    table, told = collect.VersionedTable(spark, str(tmp_path / "t"), buckets=4), []
+
+    def fails():
+        raise OSError("no feed")
+
+    log = lambda n, s: told.append((n, s))
+    assert not collect.poll_once(fails, table, 0, ["k"], "t", log)
+    assert collect.poll_once(lambda: spark.createDataFrame([(1, at(0))], "k long, t timestamp"), table, 1, ["k"], "t", log)
+    assert told == [(0, "error: no feed"), (1, "ok")] and table.read().count() == 1
+    assert not collect.poll_once(fails, table, 2, ["k"], "t", lambda n, s: 1 / 0)
+    assert [n for n in range(40) if collect.polls_alerts(n, 15)] == [0, 15, 30] and not collect.polls_alerts(0, 0)
+    assert collect.alert_sink(collect.sink_for("parquet", spark, str(tmp_path / "s"))) and collect.alert_sink(collect.sink_for("csv", spark, str(tmp_path / "s"))) is None
+    with pytest.raises(ValueError):
+        collect.sink_for("none", spark, "x")
+
+
 def test_timetable_zip(spark, tmp_path):
     for n in ("a", "b"):
         with zipfile.ZipFile(tmp_path / f"{n}_20260601.zip", "w") as z:
@@ -116,6 +179,7 @@ def test_stateful_latest_wins(spark, tmp_path):
     q.awaitTermination()
     got = {r["key"]: (r["value"], r["last_seen"]) for r in spark.table("latest").collect()}
     assert got == {1: (3.0, at(9)), 2: (4.0, at(1))}
+    assert {r["key"]: r["observation_count"] for r in spark.table("latest").collect()}[2] == 1
 
 
 def test_windows_close_with_the_watermark(spark, tmp_path):
