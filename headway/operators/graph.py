@@ -8,7 +8,8 @@ round reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,23 @@ def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
 
 
+#: Edges of one partition, about; a small graph is not dealt to more tasks than it fills, but to some.
+_PART_EDGES = 20_000
+_LEAST_PARTS = 8
+
+
+@contextlib.contextmanager
+def _partitions(spark, edges: int) -> Iterator[None]:  # noqa: ANN001
+    """As many shuffle partitions as a graph of so many edges fills, at most those of the session."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(_LEAST_PARTS, edges // _PART_EDGES))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], most_rounds: int = 60) -> DataFrame:
     """(vertex, component) of every vertex with an edge to another; the component is its least vertex.
 
@@ -54,8 +72,10 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         if not seen[0]:
             break
         hot_from = max(_HOT_EDGES, seen[0] // _HOT_SHARE)
-        now = cut(_star(_star(now, True, hot_from), False, hot_from))
-        if (after := print_of(now)) == seen:
+        with _partitions(now.sparkSession, seen[0]):
+            now = cut(_star(_star(now, True, hot_from), False, hot_from))
+            after = print_of(now)
+        if after == seen:
             break
         seen = after
     else:
