@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headway.session import cut  # noqa: F401  the operators take it from here
+
 #: Rows and bytes of one Arrow batch at most; a batch of long documents then fits in a Python worker.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -32,17 +37,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: survives lost executors.
+def trim() -> None:
+    """Gives memory that nothing holds back to the system, where the C library has a call for that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one, as in tests,
-    gets a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="headway-cp-"))
-    return df.checkpoint(eager=True)
+
+def trimmed(batches: Iterator) -> Iterator:
+    """``batches``; after the last one the Python worker, which waits for other tasks, gives its memory back."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver see which shuffles nothing needs any more, so that their files are deleted now and not at
+    its next collection, and gives memory that nothing holds back to the system."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import prepare, unused
+from headway.llm.common import prepare, release, unused
 
 #: Rows of the training sample, on average, and characters of one of them at most.
 TRAIN_ROWS = 4000
@@ -185,7 +185,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
                 cached[w] = buckets_of(w)
             flat.extend(cached[w])
         if flat:
-            ids, counts = np.unique(np.frombuffer(flat, np.uint16).astype(np.int32), return_counts=True)
+            ids, counts = np.unique(np.frombuffer(flat, np.uint16), return_counts=True)
             yield ids, (counts / counts.sum()).astype(np.float32), y
 
     k = len(names) + 1
@@ -260,15 +260,26 @@ def train(docs: DataFrame, used: Column, rows: int = TRAIN_ROWS, chars: int = TR
     sample = sorted((r for r in sample if not r[3] or r[2] not in whole), key=lambda r: (str(r[0]), r[1], r[2]))
     if not sample:
         return None
-    return fit([r[1] for r in sample], [r[2] for r in sample])
+    model = fit([r[1] for r in sample], [r[2] for r in sample])
+    del sample
+    release(docs.sparkSession)
+    return model
+
+
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The documents whose language is not rejected, with their own columns, whatever their names."""
+    names = unused(docs, *OWN)
+    return identify(docs, model, text_col, names=names).filter(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+OWN = ("lang_pred", "lang_score", "lang_rejected")
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), then lang_pred, lang_score and lang_rejected, which replace
-    columns of those names."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, names: Sequence[str] = OWN) -> DataFrame:
+    """The columns ``keep`` (all by default), then the language, its score and whether it is rejected; the ``names``
+    of these replace columns of the same names."""
     spark = prepare(docs.sparkSession)
-    own = ("lang_pred", "lang_score", "lang_rejected")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     (text,) = unused(docs, "_text")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text))
     sent = spark.sparkContext.broadcast(model)
@@ -289,8 +300,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 no = [not a or not s or x < own.threshold for a, s, x in zip(letters, some, score, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())],
-                [*batch.schema.names[:n], "lang_pred", "lang_score", "lang_rejected"],
+                [*batch.schema.names[:n], *names],
             )
 
-    schema = rows.drop(text).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    schema = rows.drop(text).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     return rows.mapInArrow(run, schema)

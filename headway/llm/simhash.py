@@ -18,15 +18,15 @@ result; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.llm.common import cut, prepare, unused
+from headway.llm.common import cut, prepare, release, trimmed, unused
 from headway.operators.graph import connected_components
 
 DISTANCE = 3
@@ -48,16 +48,14 @@ def _shingles(text: bytes | None, shingle: int) -> list[bytes]:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of a text: a bit is 1 if it is set in over half the shingles' hashes."""
-    return _simhash(_shingles(text, shingle), SEED)
+    import xxhash
 
+    parts = _shingles(text, shingle)
+    return _simhash(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
 
-def _simhash(parts: Collection[bytes], seed: int) -> int:
-    import xxhash
 
-    if not parts:
-        return 0
-    n = len(parts)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
+def _simhash(hashes: np.ndarray) -> int:
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # long texts in parts: 64 bytes a hash
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -157,7 +155,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(edges[:, 0])], ["a", "b"])
 
     size = 0
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -249,7 +247,7 @@ def _set_hash(hashes: np.ndarray) -> int:
 
 
 #: Shingles in at least one of so many texts rank as common; there are at most so many times a text's shingles of them.
-COMMON = 4096
+COMMON = 16384
 #: Shingle hashes that a task counts at once.
 _COUNTED = 2_000_000
 
@@ -267,7 +265,7 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, n
             return pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1])], ["t", "n"])
 
         size = 0
-        for batch in batches:
+        for batch in trimmed(batches):
             for text in batch.column(0):
                 held.append(_hashed(text.as_py(), shingle))
                 size += len(held[-1])
@@ -284,17 +282,34 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, n
     return t.view(np.uint64)[order], n[order]
 
 
-#: Bits of a text's parity bitmap in the groups of candidates.
-PARITY = 512
-#: Groups of more texts than this are one family without a look at their bitmaps.
-GLUED = 1024
+#: Groups of more texts than this are one family without a look at their histograms.
+GLUED = 512
+#: Bits of the map of shared shingles that tells most others apart before they are dealt.
+SHARED_BITS = 1 << 25
 #: Texts, and shingles of them, of one block of a family.
 FAMILY_ROWS = 2048
 FAMILY_SHINGLES = 2_000_000
 #: Texts of a large family that are in each of its blocks.
 HUBS = 8
 #: Lists of texts of at most so many rows (some 40 bytes each) are broadcast; longer ones are joined by shuffling.
-BROADCAST_TEXTS = 500_000
+BROADCAST_TEXTS = 100_000
+
+
+def _histogram(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall on each of some places (of at most 255): a power of two, about a sixth of the hashes'
+    number, fewer for very many.
+
+    Two sets' histograms differ by no more in all than the hashes that are in one of them only; those of sets that
+    have little in common differ by more than a ninth of both sizes.  Adding up halves gives that of half the places.
+    """
+    n = len(hashes)
+    width = max(min(_power(n // 8), 1024), _power(n // 16), 16)
+    return np.minimum(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+
+
+def _power(n: int) -> int:
+    """The least power of two that is no less."""
+    return 1 << max(0, n - 1).bit_length()
 
 
 def _parity(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -311,27 +326,26 @@ def _unlike(m, n, similarity: float):
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, th (a hash of the text), and of its set of shingles: sh (a hash), size, rare, fp, bits and toks.
+    """doc_id, th (a hash of the text), and of its set of shingles: sh (a hash), size, rare, fp, places and toks.
 
-    fp is the SimHash of the distinct words, bits the parity bitmap, rare the number of uncommon hashes.
+    fp is the SimHash of the set, places its histogram, rare the number of uncommon hashes.
     toks: the set's first hashes, uncommon ones first, as many as it takes that of two sets that are alike
     one of the first is in both.  Any order of all hashes gives that; this one keeps groups small.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, shingle))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    names = ["doc_id", "th", "sh", "size", "rare", "fp", "bits", "toks"]
+    names = ["doc_id", "th", "sh", "size", "rare", "fp", "places", "toks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
-        for batch in batches:
-            hashes, sizes, rare, fps, bits, toks = [], [], [], [], [], []
+        for batch in trimmed(batches):
+            hashes, sizes, rare, fps, places, toks = [], [], [], [], [], []
             for text in batch.column(2):
-                text = text.as_py()
-                s = _hashed(text, shingle)
+                s = _hashed(text.as_py(), shingle)
                 hashes.append(_set_hash(s))
                 sizes.append(len(s))
-                fps.append(_simhash(set(text.lower().split()) if text else (), SEED))
-                bits.append(_parity(s, PARITY).tobytes())
+                fps.append(_simhash(s))
+                places.append(_histogram(s).tobytes())
                 known = np.zeros(len(s), np.int64)
                 if len(common) and len(s):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -342,22 +356,11 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, simila
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), signed(hashes), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), signed(fps), pa.array(bits, pa.binary()), lists]
+            columns = [batch.column(0), batch.column(1), signed(hashes), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), signed(fps), pa.array(places, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     ids = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {ids}, th long, sh long, size int, rare int, fp long, bits binary, toks array<long>")
-
-
-def _components(adjacent: np.ndarray) -> np.ndarray:
-    """The least place of each place's component, of a small dense symmetric graph."""
-    label = np.arange(len(adjacent))
-    while True:
-        after = np.minimum(label, np.where(adjacent, label[None, :], len(label)).min(axis=1, initial=len(label)))
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
+    return rows.mapInArrow(run, f"doc_id {ids}, th long, sh long, size int, rare int, fp long, places binary, toks array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, at_least: int) -> Iterator[pa.Table]:
@@ -396,44 +399,81 @@ def _starts(table: pa.Table, keys: int) -> np.ndarray:
 
 
 def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of fingerprints in groups of rows (t, fp, size, pos, bits), whose components are those of the pairs that can be alike.
+    """Edges (a, b) of the fingerprints of pairs that can be alike, in groups of at most GLUED rows (t, fp, size, pos, places).
 
     What stands before the first hash that two sets share is in one of them only, so the group of that
-    hash bounds what they have in common, and their bitmaps bound what they have not.
+    hash bounds what they have in common, and their histograms bound what they have not.
     """
-    for table in _groups(batches, 1, _PAIRS // 16):
+    for table in _groups(trimmed(batches), 1, 4096):
         fp, size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("fp", "size", "pos"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        held = table.column("places").combine_chunks()
+        flat, ends = np.frombuffer(held.buffers()[2], np.uint8), np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+        width = np.diff(ends)
+
+        def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """How much the histograms of rows x and y differ, of as many places as the smaller has."""
+            out = np.zeros(len(x), np.int64)
+            both = np.minimum(width[x], width[y])
+            for w in np.unique(both).tolist():
+                some = np.flatnonzero(both == w)
+                for part in np.array_split(some, -(-len(some) * w // (_PAIRS * 8))):
+                    sums = []
+                    for rows in (x[part], y[part]):
+                        folded = np.zeros((len(part), w), np.int16)
+                        for k in range(int((width[rows] // w).max())):
+                            has = width[rows] > k * w
+                            folded[has] += flat[ends[rows[has]][:, None] + (k * w + np.arange(w))]
+                        sums.append(folded)
+                    out[part] = np.abs(sums[0] - sums[1]).sum(axis=1, dtype=np.int64)
+            return out
+
         starts = _starts(table, 1)
         many = np.diff(starts)
-
-        def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            most = np.minimum(size[x] - pos[x], size[y] - pos[y])
-            good = (most * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6) & (fp[x] != fp[y])
-            good[good] = np.bitwise_count(bits[x[good]] ^ bits[y[good]]).sum(axis=1) <= _unlike(size[x[good]], size[y[good]], similarity)
-            return good
-
-        out = []
-        for g in np.flatnonzero(many > 64):
-            each = np.arange(starts[g], starts[g + 1])
-            adjacent = np.concatenate([able(*(v.ravel() for v in np.meshgrid(part, each, indexing="ij"))).reshape(len(part), -1) for part in np.array_split(each, -(-len(each) ** 2 * 8 // _PAIRS))])
-            label = _components(adjacent)
-            out.append(np.column_stack([fp[each], fp[each[label]]]))
-        small = np.flatnonzero((many > 1) & (many <= 64))
-        work = many[small] ** 2
-        for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work) // (_PAIRS // 8))) + 1) if len(small) else ():
+        out = [np.zeros((0, 2), np.int64)]
+        live = np.flatnonzero(many > 1)
+        for part in np.split(live, np.flatnonzero(np.diff(np.cumsum(many[live] ** 2) // (_PAIRS // 4))) + 1) if len(live) else ():
             group = np.repeat(part, many[part] ** 2)
             at = np.arange(len(group)) - np.repeat(np.cumsum(many[part] ** 2) - many[part] ** 2, many[part] ** 2)
             x, y = starts[group] + at // many[group], starts[group] + at % many[group]
-            x, y = x[x < y], y[x < y]
-            good = able(x, y)
+            most = np.minimum(size[x] - pos[x], size[y] - pos[y])
+            good = (x < y) & (fp[x] != fp[y]) & (most * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6)
+            x, y = x[good], y[good]
+            good = unlike(x, y) <= _unlike(size[x], size[y], similarity)
             out.append(np.column_stack([fp[x[good]], fp[y[good]]]))
-        edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        edges = np.unique(np.sort(edges[edges[:, 0] != edges[:, 1]], axis=1), axis=0)
+        edges = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         if len(edges):
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(edges[:, 0])], ["a", "b"])
 
 
+def _bit_map(shared: DataFrame) -> np.ndarray:
+    """Words of 64 bits, SHARED_BITS in all, with the bits set that ``shared.t`` fall on."""
+    bit = F.pmod("t", F.lit(SHARED_BITS))
+    rows = shared.select(F.expr("1L").alias("one"), bit.alias("bit")).groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(one, cast(bit % 64 AS int))")).alias("word")).toArrow()
+    words = np.zeros(SHARED_BITS // 64, np.int64)
+    words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
+    return words.view(np.uint64)
+
+
+def _placed(texts: DataFrame, bit_map: np.ndarray) -> DataFrame:
+    """t, sh, size and pos (t's place in the text's list) of the shingles of ``texts`` that ``bit_map`` does not rule out."""
+    sent = texts.sparkSession.sparkContext.broadcast(bit_map)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            bit = flat.view(np.uint64) & np.uint64(SHARED_BITS - 1)
+            at = np.flatnonzero(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+            row = np.searchsorted(ends, at + ends[0], "right") - 1
+            pos = (at + ends[0] - ends[row]).astype(np.int32)
+            for i in range(0, len(at), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at[part]]), *[batch.column(c).take(pa.array(row[part])) for c in (0, 1)], pa.array(pos[part])], ["t", "sh", "size", "pos"])
+
+    return texts.select("sh", "size", "toks").mapInArrow(run, "t long, sh long, size int, pos int")
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """sh and s: the distinct hashes of each text's shingles."""
 
@@ -484,7 +524,7 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
     Of a block's rows those of side 0 meet those of side 1; rows of side 2 meet each other.
     """
-    for table in _groups(batches, 3, 256):
+    for table in _groups(trimmed(batches), 3, 256):
         starts = _starts(table, 3)
         side, sh, known = (table.column(c).to_numpy() for c in ("side", "sh", "label"))
         lists = table.column("s").combine_chunks()
@@ -505,73 +545,84 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _cut_and_release(df: DataFrame) -> DataFrame:
+    """As :func:`cut`; the shuffles behind it go at once: there are many, each of many files."""
+    out = cut(df)
+    release(df.sparkSession)
+    return out
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
     """``id_col``, th, root (one number a component) and component_id, linked by the similarity (Jaccard) of whole texts' shingles.
 
     Families of candidates are the components of two kinds of links: those that multi-index hashing finds
-    between the SimHashes of the texts' distinct words (:func:`links`), and, as no distance of fingerprints
-    has all pairs that are alike, those between sets that share one of their rarest shingles and can be
-    alike by size, place and bitmap.  Two sets that are alike share one of these (:func:`_described`), so
+    between the SimHashes of the sets (:func:`links`), and, as no distance of fingerprints has all pairs that
+    are alike, those between sets that share one of their rarest shingles and can be alike by size, place and
+    histogram.  Two sets that are alike share one of these (:func:`_described`), so
     all links lie within families.  There each pair of texts that are not yet joined is checked exactly.
     A family of more than one block meets in two rounds: each block in itself and with a few hubs, then the
     texts that are not in the largest component with all.  Texts without words are alike.
     """
     spark = prepare(docs.sparkSession)
+    release(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = cut(_described(docs, id_col, text_col, shingle, similarity))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEXTS else df
+    own = _cut_and_release(_described(docs, id_col, text_col, shingle, similarity))
     first = F.struct("th", "doc_id")
-    texts = cut(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("th", "doc_id", "size", "rare", "fp", "bits", "toks"), first).alias("of")).select("sh", "least", "of.*"))
-    tokens = F.posexplode("toks").alias("pos", "t")
-    shared = texts.select("sh", "fp", tokens).groupBy("t").agg(F.min("sh").alias("a"), F.max("sh").alias("b"), F.min("fp").alias("hub"), F.count("*").alias("many"))
-    shared = cut(shared.filter("a < b").select("t", "hub", "many"))
-    if shared.count() <= BROADCAST_TEXTS:
-        members = texts.select("fp", "size", "bits", tokens).join(F.broadcast(shared), "t")
-    else:
-        members = texts.select("sh", "fp", "size", tokens).join(shared, "t").join(texts.select("sh", "bits"), "sh")
-    members = cut(members.select("t", "fp", "size", "pos", F.when(F.col("many") <= GLUED, F.col("bits")).alias("bits"), "hub"))
-    glued = members.filter("bits IS NULL").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    met = members.filter("bits IS NOT NULL").drop("hub").repartition(shuffles, "t").sortWithinPartitions("t")
-    met = met.mapInArrow(lambda batches: _meeting(batches, similarity), "a long, b long")
-    edges = links(texts.select("fp").distinct(), distance).unionByName(glued).unionByName(met)
-    family = connected_components(edges, cut).withColumnRenamed("vertex", "fp")
+    texts = _cut_and_release(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("th", "doc_id", "size", "rare", "fp", "places", "toks"), first).alias("of")).select("sh", "least", "of.*"))
+    # Texts are distinct, and so are a text's shingles: those of two rows or more are shared.
+    shared = texts.select("fp", F.explode("toks").alias("t")).groupBy("t").agg(F.min("fp").alias("hub"), F.count("*").alias("many"))
+    shared = _cut_and_release(shared.filter("many > 1"))
+    members = _placed(texts, _bit_map(shared)).join(small(shared), "t")
+    members = _cut_and_release(members)
+    release(spark)
+    glued = members.filter(F.col("many") > GLUED).join(texts.select("sh", "fp"), "sh").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    # Of a group's texts in order of size, one that can be alike with any can be so with a neighbour.
+    by_size = Window.partitionBy("t").orderBy("size")
+    fits = (F.lag("size").over(by_size) >= F.col("size") * similarity - 1e-6) | (F.lead("size").over(by_size) * similarity <= F.col("size") + 1e-6)
+    fitting = members.filter(F.col("many") <= GLUED).withColumn("fits", fits).filter("fits").select("t", "sh", "pos")
+    met = fitting.join(texts.select("sh", "fp", "size", "places"), "sh").select("t", "fp", "size", "pos", "places")
+    met = met.repartition(shuffles, "t").sortWithinPartitions("t").mapInArrow(lambda batches: _meeting(batches, similarity), "a long, b long").distinct()
+    edges = _cut_and_release(links(texts.select("fp").distinct(), distance).unionByName(glued).unionByName(met))
+    release(spark)
+    family = connected_components(edges, _cut_and_release).withColumnRenamed("vertex", "fp")
     named = texts.join(family, "fp", "left").select("sh", "th", "doc_id", "size", (F.col("rare") / F.greatest("size", F.lit(1))).alias("rare"), F.coalesce("component", "fp").alias("family"))
     blocks = F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("size") / FAMILY_SHINGLES)).cast("int")
     sized = named.groupBy("family").agg(F.count("*").alias("n"), blocks.alias("parts")).filter("n > 1").drop("n")
-    related = cut(named.join(sized, "family"))
+    related = _cut_and_release(named.join(sized, "family"))
     rows = docs.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEXTS else df
 
     def alike(placed: DataFrame) -> DataFrame:
         """Edges found in the blocks (family, i, j) that texts are ``placed`` in."""
-        placed = cut(placed.select("th", "doc_id", "sh", "family", "i", "j", "side", "label", "rare"))
-        wanted = cut(placed.select(F.col("th").alias("_th"), F.col("doc_id").alias("_first")).distinct())
+        placed = _cut_and_release(placed.select("th", "doc_id", "sh", "family", "i", "j", "side", "label", "rare"))
+        wanted = _cut_and_release(placed.select(F.col("th").alias("_th"), F.col("doc_id").alias("_first")).distinct())
         on = (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_first"))
         sets = _shingle_sets(rows.join(small(wanted), on, "left_semi").select("_text"), shingle)
         dealt = sets.join(small(placed), "sh").select("family", "i", "j", "side", "label", "rare", "sh", "s")
         dealt = dealt.repartition(shuffles, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rare", "sh")
-        return cut(dealt.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"))
+        return _cut_and_release(dealt.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"))
 
     block = lambda n: F.pmod(F.xxhash64("sh"), n).cast("int")
     each_block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     large = related.filter("parts > 1")
-    hubs = cut(large.groupBy("family", F.pmod(F.xxhash64("sh"), F.lit(HUBS)).alias("k")).agg(F.min(F.struct("rare", "sh"))["sh"].alias("sh")).select("sh"))
+    hubs = _cut_and_release(large.groupBy("family", F.pmod(F.xxhash64("sh"), F.lit(HUBS)).alias("k")).agg(F.min(F.struct("rare", "sh"))["sh"].alias("sh")).select("sh"))
     others = related.join(hubs, "sh", "left_anti").withColumn("i", block(F.col("parts")))
     round_one = others.unionByName(large.join(hubs, "sh", "left_semi").withColumn("i", each_block(F.col("parts"))))
     found = alike(round_one.withColumns({"j": F.lit(0), "side": F.lit(2), "label": F.col("sh")}))
-    labels = connected_components(found, cut).withColumnRenamed("vertex", "sh")
-    apart = cut(large.join(labels, "sh", "left").withColumn("label", F.coalesce("component", "sh")).drop("component"))
+    labels = connected_components(found, _cut_and_release).withColumnRenamed("vertex", "sh")
+    apart = _cut_and_release(large.join(labels, "sh", "left").withColumn("label", F.coalesce("component", "sh")).drop("component"))
     counted = apart.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
     main = counted.groupBy("family").agg(F.max(F.struct("n", "m", "label")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
     beside = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / FAMILY_ROWS), F.ceil((F.col("m") - F.col("top.m")) / FAMILY_SHINGLES)).cast("int")
-    main = cut(main.select("family", F.col("top.label").alias("main"), beside.alias("lefts")).filter("lefts > 0"))
+    main = _cut_and_release(main.select("family", F.col("top.label").alias("main"), beside.alias("lefts")).filter("lefts > 0"))
     if not main.isEmpty():
         both = apart.join(main, "family")
         left = both.filter("label <> main").withColumns({"i": block(F.col("lefts")), "side": F.lit(0)}).withColumn("j", each_block(F.col("parts")))
         right = both.withColumns({"j": block(F.col("parts")), "side": F.lit(1)}).withColumn("i", each_block(F.col("lefts")))
-        labels = connected_components(found.unionByName(alike(left.unionByName(right))), cut).withColumnRenamed("vertex", "sh")
+        labels = connected_components(found.unionByName(alike(left.unionByName(right))), _cut_and_release).withColumnRenamed("vertex", "sh")
     least = labels.join(texts.select("sh", "least"), "sh").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = labels.join(least, "component").select("sh", "component", "component_id")
-    classes = cut(texts.join(linked, "sh", "left").select("sh", F.coalesce("component", "sh").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    classes = _cut_and_release(texts.join(linked, "sh", "left").select("sh", F.coalesce("component", "sh").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
     return own.select("doc_id", "th", "sh").join(classes, "sh").select(F.col("doc_id").alias(id_col), "th", "root", "component_id")
 
 

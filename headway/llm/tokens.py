@@ -27,6 +27,8 @@ from headway.llm.common import prepare
 
 #: Entries of a table of known words at most; a full table is emptied.
 KNOWN = 600_000
+#: Characters of a chunk that is kept, at most.
+LONGEST = 64
 _POSITION = 1 << 40
 
 
@@ -76,7 +78,8 @@ class WordVocabulary:
 
 
 class KnownTable(dict):
-    """Results by chunk: made when first asked for; emptied when it holds KNOWN entries."""
+    """Results by chunk: made when first asked for; emptied when it holds KNOWN entries.  Chunks of more than LONGEST
+    characters are made each time, so that the table is bounded in bytes too."""
 
     def __init__(self, vocabulary: WordVocabulary, make, join):
         super().__init__()
@@ -86,7 +89,9 @@ class KnownTable(dict):
         if len(self) >= KNOWN:
             self.clear()
         words = self.vocabulary.words(chunk)
-        value = self[chunk] = self.make(chunk) if len(words) == 1 and words[0] == chunk else self.join(map(self.__getitem__, words))
+        value = self.make(chunk) if len(words) == 1 and words[0] == chunk else self.join(map(self.__getitem__, words))
+        if len(chunk) <= LONGEST:
+            self[chunk] = value
         return value
 
 

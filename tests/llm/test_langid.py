@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from headway.llm import langid
@@ -60,3 +61,47 @@ def test_languages_of_long_texts_are_learned(spark):
     assert model.langs == ["de", "en"]
     long = langid.train(spark.createDataFrame(rows[30:], "doc_id long, text string, lang string"), F.lit(True))
     assert long.langs == ["de"]
+
+
+def test_what_is_no_language_is_rejected(spark):
+    """Shuffled letters, random letters, digests, other scripts; clean held-out documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = id_fold(F.col("doc_id"), 4) == 2
+    model = langid.train(docs, ~held)
+    assert 0.01 < model.temperature < 100
+    rng = np.random.default_rng(5)
+    text = docs.filter(held & (F.length("text") > 400)).first()["text"]
+    junk = [
+        "xqzt brlk wvnm pqrs zzkt qqwv", "Привет, как дела сегодня?", "これは日本語の文章です", "안녕하세요 세계 여러분", "გამარჯობა მსოფლიო", "სახლი და წყალი",
+        "deadbeef 01ab23cd fe12aa99 77aa 9e8f", *["".join(chr(97 + i) if i < 26 else " " for i in rng.integers(0, 31, 200)) for _ in range(5)],
+        *["".join(rng.permutation(list(text))) for _ in range(5)],
+    ]
+    p, _ = model.scores(junk)
+    assert (p.max(axis=1) < model.threshold).mean() >= 0.9
+    rows = langid.identify(docs, model).filter(held).select("lang_rejected").collect()
+    assert sum(r[0] for r in rows) <= 0.01 * len(rows)
+
+
+def test_scores_equal_brute_force():
+    """The mean of the buckets' logits, in plain Python."""
+    import zlib
+
+    model = langid.fit(["the river and stone", "of the lamp"] * 20 + ["der fluss und stein", "die lampe"] * 20, ["en", "en"] * 20 + ["de", "de"] * 20)
+    for text in ("The river; of stein", "x", "lamp LAMPE 12 lamp", "é" * 50):
+        total, n = [0.0] * 3, 0
+        for word in "".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower()).split():
+            data = b"<" + word.encode() + b">"
+            buckets = [zlib.crc32(data[i : i + k]) % langid.BUCKETS for k in (2, 3, 4) for i in range(len(data) - k + 1)] + [zlib.crc32(data, 7) % langid.BUCKETS]
+            n += len(buckets)
+            total = [t + sum(float(model.logits[b][j]) for b in buckets) for j, t in enumerate(total)]
+        z = [(t / n + float(b)) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+        e = [np.exp(x - max(z)) for x in z]
+        got, _ = model.scores([text])
+        assert np.allclose(got[0], [x / sum(e) for x in e[:2]], atol=1e-5)
+
+
+def test_recognised_documents_keep_their_columns(odd_docs):
+    model = langid.fit(["the river and stone"] * 30 + ["der fluss und stein"] * 30, ["en"] * 30 + ["de"] * 30)
+    kept = langid.recognised(odd_docs, model)
+    assert kept.dtypes == odd_docs.dtypes
+    assert {r["lang_pred"] for r in kept.collect()} <= {r["lang_pred"] for r in odd_docs.collect()}

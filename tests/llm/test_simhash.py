@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,3 +213,38 @@ def test_one_of_each_with_repeated_ids(spark):
     for similarity in (None, 0.8):
         kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
         assert sorted(map(tuple, kept.collect())) == sorted(set(rows) - {(5, texts["T"])})
+
+
+def test_histograms_bound_what_sets_have_apart():
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (1, 5, 40, 300, 3000, 30_000):
+        base = draw(n)
+        for share in (0.0, 0.1, 0.5, 1.0):
+            other = np.unique(np.r_[base[: int(n * (1 - share))], draw(int(n * share * rng.uniform(0.5, 1.2)))])
+            mine = np.unique(base)
+            a, b = simhash._histogram(mine).astype(int), simhash._histogram(other).astype(int)
+            w = min(len(a), len(b))
+            apart = np.abs(a.reshape(-1, w).sum(axis=0) - b.reshape(-1, w).sum(axis=0)).sum()
+            assert apart <= len(np.setxor1d(mine, other))
+            if share == 1.0 and n >= 300:
+                assert apart > simhash._unlike(len(mine), len(other), 0.8)
+
+
+def test_groups_meet_as_brute_force_says():
+    """Rows of several groups, also of texts of very different length; every alike pair of a group is found."""
+    rng = np.random.default_rng(6)
+    sets, rows = [], []
+    for size in (30, 400, 5000):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for k in range(12):
+            drop = rng.random(size) < 0.015 * k
+            sets.append(np.unique(np.r_[base[~drop], rng.integers(0, 2**63, int(drop.sum())).astype(np.uint64)]))
+    for t in range(4):
+        rows += [(t, k, len(sets[k]), t, simhash._histogram(sets[k]).tobytes()) for k in range(len(sets)) if k % 4 != t]
+    table = pa.table({n: pa.array(c, k) for n, c, k in zip(("t", "fp", "size", "pos", "places"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
+    got = {(b, a) for batch in simhash._meeting(iter(table.to_batches(max_chunksize=7)), 0.8) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    alike = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))}
+    met = {(x, y) for x, y in alike if any(x % 4 != t and y % 4 != t for t in range(4))}
+    assert met and met <= got
+    assert all(x // 12 == y // 12 for x, y in got)  # nothing of different texts
