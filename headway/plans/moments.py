@@ -341,7 +341,7 @@ def ablation_detect(spark, sf_dir):
     train, held, test = (rows.filter(F.col("split") == s) for s in ("train", "validation", "test"))
     out = None
     for name, numbers in (("all", _NUMBERS), ("without alert_in_feed", tuple(c for c in _NUMBERS if c != "alert_in_feed"))):
-        scored = models.fit_detector("logistic", train, held, numbers).score(test)
+        scored = models.fit_detector("logistic", train, held, numbers, lone=True).score(test)
         curve = evalstats.score_curve(scored, "score", "target")
         one = evalstats.average_precision(curve).select(F.lit(name).alias("features"), F.round("average_precision", 6).alias("average_precision"))
         out = one if out is None else out.unionByName(one)
