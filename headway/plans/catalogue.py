@@ -829,7 +829,7 @@ def _detection(spark, sf_dir) -> DataFrame:
 
 def _detector(kind: str, spark, sf_dir) -> DataFrame:
     rows = _cut(_detection(spark, sf_dir))
-    fitted = models.fit_detector(kind, rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _NUMBERS)
+    fitted = models.fit_detector(kind, rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _NUMBERS, lone=True)
     return fitted.score(rows).select("line", _stamp("window_start").alias("window_start"), "split", F.round("score", 6).alias("score"), "flag", "target")
 
 

@@ -58,3 +58,9 @@ def test_where_both_classes_are_nothing_changes(spark):
 def test_ablation_detect(spark, quiet):
     got = [tuple(r) for r in QUERIES["ablation_detect"](spark, quiet).collect()]
     assert got == [("all", None), ("without alert_in_feed", None)]
+
+
+@pytest.mark.parametrize("name", ["boosted_detect"])
+def test_detect(name, spark, quiet):
+    got = QUERIES[name](spark, quiet).collect()
+    assert len(got) == 160 and {(r["score"], r["flag"]) for r in got} == {(0.0, False)}
