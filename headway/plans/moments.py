@@ -324,7 +324,7 @@ def kept_detector(spark, sf_dir):
     """SRC20 SNK12: a detector kept with its facts and loaded again scores as before."""
     folder = work_folder(spark, "detector")
     rows = _cut(_detection(spark, sf_dir))
-    fitted = models.fit_detector("logistic", rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _NUMBERS)
+    fitted = models.fit_detector("logistic", rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _NUMBERS, lone=True)
     artefacts.save_detector(fitted, folder, spark, ["2024-01-01"])
     loaded, dates = artefacts.load_detector(folder, spark)
     assert dates == ["2024-01-01"]

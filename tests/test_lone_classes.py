@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,10 @@ def test_ablation_detect(spark, quiet):
 def test_detect(name, spark, quiet):
     got = QUERIES[name](spark, quiet).collect()
     assert len(got) == 160 and {(r["score"], r["flag"]) for r in got} == {(0.0, False)}
+
+
+def test_kept_detector(spark, quiet):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{quiet}/events.parquet/*.parquet')")
+    want = con.execute(catalogue.oracle_sql()["kept_detector"]).fetchall()
+    assert [tuple(r) for r in QUERIES["kept_detector"](spark, quiet).select("rows", "different", "flags_agree").collect()] == want == [(160, 0, True)]
