@@ -61,7 +61,7 @@ def test_ablation_detect(spark, quiet):
     assert got == [("all", None), ("without alert_in_feed", None)]
 
 
-@pytest.mark.parametrize("name", ["boosted_detect", "forest_detect"])
+@pytest.mark.parametrize("name", ["boosted_detect", "forest_detect", "logit_detect"])
 def test_detect(name, spark, quiet):
     got = QUERIES[name](spark, quiet).collect()
     assert len(got) == 160 and {(r["score"], r["flag"]) for r in got} == {(0.0, False)}
