@@ -37,7 +37,7 @@ def audited(alerts: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
 SLOT_GAPS = 8
 
 
-def chains(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
+def chains(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(alert_id, chain): chains of alerts of one line and one cause that hand over to each other.
 
     Two alerts hand over if one leaves within the gap of the other's coming and both have one cause or an
@@ -45,12 +45,13 @@ def chains(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
     fall apart only where no end and beginning on either side are near enough: between lie others of either
     kind, which are then near enough to one of the two.  So chains are runs of neighbours.  They are found in
     time slots side by side, each with what is near its borders, and numbered from the breaks of the slots
-    before.  An alert is in a chain for each of its lines and causes, by its end and by its beginning.
+    before.  An alert is in a chain for each of its lines and causes, by its end and by its beginning.  With
+    ``cut`` the slots are gone through once, not again to count their breaks.
     """
     gap = gap_s * 1_000_000
     wide = SLOT_GAPS * gap
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    causes = alerts.agg(F.collect_set("cause").alias("_all"))  # a row; causes are an enum's names
+    causes = alerts.select("cause").distinct().agg(F.collect_set("cause").alias("_all"))  # a row; causes are an enum's names
     among = F.explode(F.when(F.col("cause") == UNKNOWN, F.col("_all")).otherwise(F.array("cause"))).alias("among")
     ends = F.explode(F.array(F.struct(micros("first_seen").alias("t"), F.lit(True).alias("begins")), F.struct(micros("last_seen").alias("t"), F.lit(False).alias("begins"))))
     points = alerts.join(F.broadcast(causes)).select("alert_id", F.explode("lines").alias("line"), "cause", "_all", ends.alias("e"))
@@ -59,18 +60,21 @@ def chains(alerts: DataFrame, gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
     near = F.explode(F.array_distinct(F.array(slot(F.col("t")), slot(F.col("t") - gap), slot(F.col("t") + gap)))).alias("slot")
     placed = points.select("*", near).withColumn("own", F.col("slot") == slot(F.col("t")))
     order = Window.partitionBy("line", "among", "slot").orderBy("t", "begins", "alert_id")
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Backwards, as a frame up to the last row would be read anew for each row.
+    back = Window.partitionBy("line", "among", "slot").orderBy(F.desc("t"), F.desc("begins"), F.desc("alert_id"))
+    behind = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda begins: F.max(F.when(F.col("begins") == begins, F.col("t"))).over(before)
     following = lambda begins: F.min(F.when(F.col("begins") == begins, F.col("t"))).over(behind)
     held = (following(True) - last(False) <= gap) | (following(False) - last(True) <= gap)
     marked = placed.withColumn("break", F.when(F.coalesce(held, F.lit(False)), 0).otherwise(1)).filter("own")
-    breaks = marked.groupBy("line", "among", "slot").agg(F.sum("break").alias("n"))
+    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = cut(marked.withColumn("k", F.sum("break").over(inside)).select("alert_id", "line", "among", "slot", "k").distinct())
+    breaks = numbered.groupBy("line", "among", "slot").agg(F.max("k").alias("n"))
     earlier = Window.partitionBy("line", "among").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
     starts = breaks.select("line", "among", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = marked.withColumn("k", F.sum("break").over(inside)).join(starts, ["line", "among", "slot"])
     name = F.concat_ws("|", "line", "among", (F.col("start") + F.col("k")).cast("string"))
-    return numbered.select("alert_id", name.alias("chain")).distinct()
+    return numbered.join(starts, ["line", "among", "slot"]).select("alert_id", name.alias("chain")).distinct()
 
 
 def incidents(alerts: DataFrame, cut: Callable[[DataFrame], DataFrame], gap_s: int = REPUBLISH_GAP_S) -> DataFrame:
@@ -78,7 +82,7 @@ def incidents(alerts: DataFrame, cut: Callable[[DataFrame], DataFrame], gap_s: i
 
     Only chains that an alert links to others, by another line, cause or time, are a matter of components.
     """
-    each = cut(chains(alerts, gap_s))
+    each = cut(chains(alerts, gap_s, cut))
     first = each.groupBy("alert_id").agg(F.min("chain").alias("a"), F.max("chain").alias("z"))
     links = each.join(first.filter("a < z"), "alert_id").select("a", F.col("chain").alias("b"))
     found = connected_components(links, cut)
@@ -86,7 +90,7 @@ def incidents(alerts: DataFrame, cut: Callable[[DataFrame], DataFrame], gap_s: i
     rows = alerts.join(own, "alert_id", "left").withColumn("_c", F.coalesce("_found", F.concat(F.lit("alone|"), "alert_id")))
     order = F.struct((F.col("cause") == UNKNOWN).alias("u"), "first_seen", "alert_id")
     grouped = rows.groupBy("_c").agg(
-        F.array_sort(F.collect_set("alert_id")).alias("alert_ids"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sort_array(F.collect_set("alert_id")).alias("alert_ids"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"), F.min_by("cause", order).alias("cause"),
     )
     out = grouped.withColumns({"cause_group": cause_group(F.col("cause")), "incident_id": F.concat(F.lit("inc-"), F.substring(F.sha2(F.array_join("alert_ids", ",").cast("binary"), 256), 1, 10))})

@@ -368,3 +368,9 @@ def test_one_moment_in_seconds_of_its_service_day(spark):
 
     got = spark.range(1).select(time.service_seconds(F.lit(dt.datetime(2026, 10, 3, 14)), F.lit("2026-10-04")).alias("x")).first()[0]
     assert got == 3600.0  # noon less twelve hours, on a day that is an hour short
+
+
+def test_no_frame_of_chains_is_read_anew_for_each_row(spark):
+    """Frames that reach to the last row take the square of a crowded time slot; running ones do not."""
+    plan = alerts.chains(_alerts(spark))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedpreceding" in plan and "unboundedfollowing" not in plan
