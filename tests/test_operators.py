@@ -374,3 +374,18 @@ def test_no_frame_of_chains_is_read_anew_for_each_row(spark):
     """Frames that reach to the last row take the square of a crowded time slot; running ones do not."""
     plan = alerts.chains(_alerts(spark))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "window" in plan and "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_citations_go_through_crowded_slots_once(spark, sf_dir, monkeypatch):
+    """The query's chains have no frame that is read anew for each row."""
+    from headway.plans import words
+
+    plans, chains = [], alerts.chains
+
+    def spied(rows, *rest):
+        plans.append(chains(rows)._jdf.queryExecution().optimizedPlan().toString().lower())
+        return chains(rows, *rest)
+
+    monkeypatch.setattr(alerts, "chains", spied)
+    assert words.citations(spark, sf_dir).count() > 0
+    assert len(plans) == 1 and "unboundedfollowing" not in plans[0]
