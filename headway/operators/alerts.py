@@ -105,10 +105,15 @@ def line_spans(alerts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def passages(alerts: DataFrame, found: DataFrame) -> DataFrame:
-    """One text an incident: a header line, then its alerts' distinct pieces in time order."""
+    """One text an incident: a header line, then its alerts' distinct pieces in time order.
+
+    A piece stands where it first occurs; only that is collected of the pieces that alerts repeat.
+    """
     member = found.select("incident_id", F.explode("alert_ids").alias("alert_id"))
-    piece = F.struct("first_seen", "alert_id", F.array(F.trim("header_text"), F.trim("description_text")).alias("t"))
-    texts = alerts.join(member, "alert_id").groupBy("incident_id").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
-    pieces = F.filter(F.array_distinct(F.flatten(F.transform("_p", lambda p: p["t"]))), lambda x: x.isNotNull() & (x != ""))
+    said = F.array(F.trim("header_text"), F.trim("description_text"))
+    pieces = alerts.select("alert_id", "first_seen", said.alias("t")).join(member, "alert_id").select("*", F.posexplode("t").alias("k", "piece")).filter("piece <> ''")
+    firsts = pieces.groupBy("incident_id", "piece").agg(F.min(F.struct("first_seen", "alert_id", "t", "k")).alias("at"))
+    texts = firsts.groupBy("incident_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]).alias("_p"))
     head = F.concat(F.lit("Lines "), F.array_join("lines", ", "), F.lit(" from "), F.date_format("first_seen", "yyyy-MM-dd HH:mm"))
-    return found.join(texts, "incident_id").withColumn("text", F.concat_ws("\n", head, F.array_join(pieces, "\n"))).drop("_p")
+    body = F.coalesce(F.array_join("_p", "\n"), F.lit(""))
+    return found.join(texts, "incident_id", "left").withColumn("text", F.concat_ws("\n", head, body)).drop("_p")

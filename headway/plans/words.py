@@ -53,7 +53,8 @@ def _incident_alerts(spark, sf_dir):
 def passage_texts(spark, sf_dir):
     """SC14 GEN7: one text an incident, its alerts' distinct pieces in time order."""
     rows = _incident_alerts(spark, sf_dir)
-    return alerts.passages(rows, alerts.incidents(rows, _cut)).select("incident_id", "text")
+    found = _cut(alerts.incidents(rows, _cut))  # read twice
+    return alerts.passages(rows, found).select("incident_id", "text")
 
 
 @query(

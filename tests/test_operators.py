@@ -389,3 +389,23 @@ def test_citations_go_through_crowded_slots_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(alerts, "chains", spied)
     assert words.citations(spark, sf_dir).count() > 0
     assert len(plans) == 1 and "unboundedfollowing" not in plans[0]
+
+
+def test_passages_collect_each_piece_once(spark):
+    """Pieces stand where they first occur, as by sorting all; those that alerts repeat are not collected."""
+    rng = random.Random(9)
+    words = [None, "", " a ", "a", "b", "c", "d "]
+    rows = [(f"{i % 50:02d}", "X", rng.choice(words), rng.choice(words), ["T1"], at(5 * (i % 9)), at(60)) for i in range(60)]
+    rows.append(("zz", "X", None, " ", ["T8"], at(0), at(1)))
+    df = spark.createDataFrame(rows, "alert_id string, cause string, header_text string, description_text string, lines array<string>, first_seen timestamp, last_seen timestamp")
+    found = alerts.incidents(df, _cut)
+    first = lambda x: (x is not None, x or "")
+    strip = lambda x: None if x is None else x.strip(" ")
+    want = {}
+    for r in found.collect():
+        mine = sorted((x[5], x[0], [first(strip(x[2])), first(strip(x[3]))]) for x in rows if x[0] in r["alert_ids"])
+        want[r["incident_id"]] = list(dict.fromkeys(p for _, _, t in mine for _, p in t if p))
+    made = alerts.passages(df, found)
+    assert {r["incident_id"]: [p for p in r["text"].split("\n")[1:] if p] for r in made.collect()} == want and len(want) == 2
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(flatten(transform(_p" not in plan and "min(struct(first_seen" in plan
