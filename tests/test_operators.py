@@ -409,3 +409,52 @@ def test_passages_collect_each_piece_once(spark):
     assert {r["incident_id"]: [p for p in r["text"].split("\n")[1:] if p] for r in made.collect()} == want and len(want) == 2
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct(flatten(transform(_p" not in plan and "min(struct(first_seen" in plan
+
+
+def test_crowded_cells_are_looked_at_by_their_corners(spark):
+    """Alerts that come and go within one gap are one chain; only the cells' corners go through the slots."""
+    rows = [(str(i), "X", ["T1"], at(i % 60 / 60), at(1 + i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "alert_id string, cause string, lines array<string>, first_seen timestamp, last_seen timestamp")
+    kept = []
+
+    def counted(rows):
+        kept.append(_cut(rows))
+        return kept[-1]
+
+    found = alerts.chains(df, cut=counted)
+    assert found.select("alert_id").distinct().count() == 900 and found.select("chain").distinct().count() == 1
+    assert kept and max(x.count() for x in kept) <= 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_incidents_equal_their_definition_in_crowded_and_in_sparse_cells(spark, monkeypatch, seed):
+    """Chains over both kinds of cells, before 1970 too, ids that repeat and are sorted in parts."""
+    monkeypatch.setattr(alerts, "ID_PARTS", 3)
+    rng, gap = random.Random(seed), 35
+    base, rows = dt.datetime(1970, 1, 1), []
+    for i in range(150):
+        first = rng.choice([rng.randint(-3000, 3000), gap * rng.randint(-60, 60), rng.randint(-90, 90)])
+        last = first + rng.choice([0, gap, rng.randint(0, 60), rng.randint(100, 2500)])
+        rows.append((f"{i:03d}", rng.choice(["X", "Y", alerts.UNKNOWN]), rng.choice([["T1"], ["T4"], ["T1", "T4"], ["T8"]]), first, last))
+    rows += rows[:5]
+    stamped = [(*r[:3], base + dt.timedelta(minutes=r[3]), base + dt.timedelta(minutes=r[4])) for r in rows]
+    df = spark.createDataFrame(stamped, "alert_id string, cause string, lines array<string>, first_seen timestamp, last_seen timestamp")
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if set(a[2]) & set(b[2]) and (a[1] == b[1] or alerts.UNKNOWN in (a[1], b[1])) and abs(a[4] - b[3]) <= gap:
+                parent[root(a[0])] = root(b[0])
+    want = {}
+    for x in parent:
+        want.setdefault(root(x), []).append(x)
+    got = alerts.incidents(df, _cut).collect()
+    assert sorted(r["alert_ids"] for r in got) == sorted(sorted(v) for v in want.values()) and 1 < len(want) < 150
+    for r in got:
+        mine = [x for x in rows if x[0] in r["alert_ids"]]
+        assert r["lines"] == sorted({y for x in mine for y in x[2]}) and r["cause"] == min(mine, key=lambda x: (x[1] == alerts.UNKNOWN, x[3], x[0]))[1]
